@@ -41,15 +41,49 @@ def _java_replacement(replacement: str) -> str:
     return replacement.replace("{1}", "$1")
 
 
-def redact_text(col: Column, custom: Sequence[str] = ()) -> Column:
-    """``struct<text, count>``: each rule sees the output of the one before."""
-    text, count = col, F.lit(0)
-    for pattern, replacement in rules(custom):
-        java = _java_pattern(pattern)
-        count = count + F.coalesce(F.regexp_count(text, F.lit(java)), F.lit(0))
-        text = F.regexp_replace(text, java, _java_replacement(replacement))
-    return F.struct(text.alias("text"), count.cast("long").alias("count"))
+# What a text must contain before a default rule can match it.  These are
+# plain substring tests, so clean text is never run through the regexes.
+# (The first rule's words have letters with exotic case variants; its
+# separator does not.)
+_GUARDS = {
+    DEFAULT_SECRET_PATTERNS[0]: lambda t: F.contains(t, F.lit(":")) | F.contains(t, F.lit("=")),
+    DEFAULT_SECRET_PATTERNS[1]: lambda t: F.contains(F.lower(t), F.lit("bearer")),
+    DEFAULT_SECRET_PATTERNS[2]: lambda t: F.contains(t, F.lit("-----BEGIN ")),
+}
+
+
+def _step(pattern: str, replacement: str):
+    java, fill = _java_pattern(pattern), _java_replacement(replacement)
+    guard = _GUARDS.get(pattern)
+
+    def apply(state: Column) -> Column:
+        text, count = state["text"], state["count"]
+        hit = F.rlike(text, F.lit(java))
+        return F.when(
+            guard(text) & hit if guard else hit,
+            F.struct(
+                F.regexp_replace(text, java, fill).alias("text"),
+                (count + F.regexp_count(text, F.lit(java))).alias("count"),
+            ),
+        ).otherwise(state)
+
+    return apply
 
 
 def redact_array(col: Column, custom: Sequence[str] = ()) -> Column:
-    return F.transform(col, lambda item: redact_text(item, custom))
+    """``array<struct<text, count>>``: each rule sees the output of the one before.
+
+    Lambda variables bind every intermediate text once, so the expression
+    stays small however many rules there are.
+    """
+    state = F.transform(
+        col, lambda item: F.struct(item.alias("text"), F.lit(0).cast("long").alias("count"))
+    )
+    for pattern, replacement in rules(custom):
+        state = F.transform(state, _step(pattern, replacement))
+    return state
+
+
+def redact_text(col: Column, custom: Sequence[str] = ()) -> Column:
+    """``struct<text, count>`` of one text."""
+    return redact_array(F.array(col), custom)[0]

@@ -9,6 +9,7 @@ files nobody reads.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evledger import schema as S
@@ -437,10 +438,31 @@ def require_intact(checks: DataFrame) -> None:
         raise SealedArchiveError(f"sealed archive check failed for {bad['ledger_id']}: {bad['check']}")
 
 
+def archive_batches(
+    spark: SparkSession,
+    archive: str,
+    cursors: DataFrame | None = None,
+    *,
+    projection: str = "metadata",
+    namespace: str = S.NAMESPACE,
+    **options,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cursor reads of every sealed ledger, after all pins of the archive hold."""
+    require_intact(archive_context(spark, archive, namespace))
+    lines = archive_lines(spark, archive)
+    return R.read_batches(
+        lines,
+        R.zero_cursors(lines) if cursors is None else cursors,
+        projection=projection,
+        recorded_breakpoints=spark.read.parquet(f"{archive}/breakpoints"),
+        **options,
+    )
+
+
 def archive_read(
     spark: SparkSession, archive: str, ledger_id: str, *, projection: str = "metadata", namespace: str = S.NAMESPACE, **options
 ) -> R.EventBatch:
-    """Cursor read of a sealed ledger, after all its pins hold."""
+    """Cursor read of one sealed ledger, after all its pins hold."""
     rows = load_manifests(spark, archive).where(F.col("ledger_id") == ledger_id)
     if rows.limit(1).count() == 0:
         raise SealedArchiveError(f"not a sealed archive (manifest missing): {ledger_id}")
@@ -459,7 +481,6 @@ def archive_read(
 def archive_tail(
     spark: SparkSession,
     archive: str,
-    ledger_id: str,
     n: int,
     *,
     source: str | None = None,
@@ -468,11 +489,10 @@ def archive_tail(
     projection: str = "metadata",
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
-    """Last ``n`` matches of a sealed ledger: one scan, no paging."""
-    batch = archive_read(
+    """Last ``n`` matches of every sealed ledger: one scan, no paging."""
+    events, envelopes, _ = archive_batches(
         spark,
         archive,
-        ledger_id,
         projection=projection,
         sources=[source] if source else None,
         event_types=[event_type] if event_type else None,
@@ -480,9 +500,15 @@ def archive_tail(
         max_bytes=1 << 62,
         namespace=namespace,
     )
-    if not batch.usable:
-        raise SealedArchiveError("sealed archive query failed: " + "; ".join(batch.warnings))
-    return R.tail_n(batch.events, n, "byte_offset")
+    failed = envelopes.where((F.col("cursor_status") != "ok") | (F.col("chain_status") == "failed"))
+    bad = failed.orderBy("ledger_id").first()
+    if bad is not None:
+        raise SealedArchiveError("sealed archive query failed: " + "; ".join(bad["warnings"]))
+    newest = W.partitionBy("ledger_id").orderBy(F.desc("byte_offset"))
+    # Spark keeps n rows per ledger before the shuffle for this shape.
+    return (
+        events.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
+    )
 
 
 def breakpoint_set_equal(actual: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -76,20 +76,14 @@ def redact_event(events: DataFrame, policy: CapturePolicy) -> DataFrame:
     Typed columns are rewritten in the JVM; the open JSON columns share one
     Arrow pass that also applies the artifact policy.
     """
-    total = F.lit(0).cast("long")
+    names = [n for n in _TEXT_FIELDS if n in events.columns]
     out = events
     if policy.redaction_enabled:
-        names = [n for n in _TEXT_FIELDS if n in events.columns]
-        clean = {f"_r_{n}": R.redact_text(F.col(n), policy.custom_patterns) for n in names}
-        clean["_r_scope"] = R.redact_text(F.col("privacy.scope"), policy.custom_patterns)
-        clean["_r_tags"] = R.redact_array(F.col("tags"), policy.custom_patterns)
-        out = out.withColumns(clean)
-        for name in names:
-            total = total + F.col(f"_r_{name}.count")
-        total = total + F.col("_r_scope.count")
-        total = total + F.aggregate(
-            F.col("_r_tags"), F.lit(0).cast("long"), lambda acc, t: acc + t["count"]
+        # All texts of an event go through the rules as one array.
+        texts = F.concat(
+            F.array(*names, F.col("privacy.scope")), F.coalesce("tags", F.array().cast("array<string>"))
         )
+        out = out.withColumn("_clean", R.redact_array(texts, policy.custom_patterns))
     out = out.withColumn(
         "_open",
         open_json_policy(
@@ -101,21 +95,19 @@ def redact_event(events: DataFrame, policy: CapturePolicy) -> DataFrame:
             artifact_max_size=policy.artifact_max_size,
         ),
     )
-    replaced = {
-        "redaction_count": total + F.col("_open.count"),
-        "payload": F.col("_open.payload"),
-        "artifacts": F.col("_open.artifacts"),
-    }
+    total = F.col("_open.count")
+    replaced = {"payload": F.col("_open.payload"), "artifacts": F.col("_open.artifacts")}
     if policy.redaction_enabled:
-        replaced |= {n: F.col(f"_r_{n}.text") for n in names}
-        replaced["tags"] = F.transform("_r_tags", lambda t: t["text"])
+        total = total + F.aggregate("_clean", F.lit(0).cast("long"), lambda acc, t: acc + t["count"])
+        replaced |= {n: F.col("_clean")[i]["text"] for i, n in enumerate(names)}
         replaced["privacy"] = F.struct(
-            F.col("_r_scope.text").alias("scope"), F.col("privacy.review_required").alias("review_required")
+            F.col("_clean")[len(names)]["text"].alias("scope"),
+            F.col("privacy.review_required").alias("review_required"),
         )
-    columns = [
-        replaced[c].alias(c) if c in replaced else F.col(c) for c in events.columns
-    ]
-    return out.select(*columns, replaced["redaction_count"].alias("redaction_count"))
+        rest = F.slice("_clean", len(names) + 2, F.greatest(F.size("_clean") - len(names) - 1, F.lit(0)))
+        replaced["tags"] = F.transform(rest, lambda t: t["text"])
+    columns = [replaced[c].alias(c) if c in replaced else F.col(c) for c in events.columns]
+    return out.select(*columns, total.alias("redaction_count"))
 
 
 def policy_annotations(
@@ -151,17 +143,24 @@ def policy_annotations(
 
 
 def apply_policy(events: DataFrame, policy: CapturePolicy, namespace: str = S.NAMESPACE) -> DataFrame:
-    """Full policy: accepted rows are sanitised, rejected rows keep only a reason."""
+    """Full policy in one pass: accepted rows are sanitised and annotated,
+    rejected rows keep their source and the reason only."""
     decided = policy_decide(events, policy)
-    done = redact_event(decided.where("accepted"), policy).withColumn(
+    done = redact_event(decided, policy)
+    done = done.withColumn(
         "payload",
         policy_annotations(F.col("payload"), F.col("redaction_count"), policy.artifact_mode, namespace),
     )
-    rejected = decided.where(~F.col("accepted")).withColumn("redaction_count", F.lit(0).cast("long"))
-    blank = [c for c in S.EVENT_FIELDS if c in rejected.columns and c != "source"]
-    for name in blank:
-        rejected = rejected.withColumn(name, F.lit(None).cast(rejected.schema[name].dataType))
-    return done.unionByName(rejected)
+    accepted = F.col("accepted")
+    columns = []
+    for name in done.columns:
+        if name in S.EVENT_FIELDS and name != "source":
+            columns.append(F.when(accepted, F.col(name)).alias(name))
+        elif name == "redaction_count":
+            columns.append(F.when(accepted, F.col(name)).otherwise(0).alias(name))
+        else:
+            columns.append(F.col(name))
+    return done.select(*columns)
 
 
 def artifact_policy(

@@ -259,7 +259,7 @@ def read_events(lines: DataFrame) -> DataFrame:
     return (
         facts.withColumn("_kind", checked)
         .where(F.col("_kind") == "event")
-        .select("ledger_id", "line", "byte_offset", F.decode("value", F.lit("UTF-8")).alias("event"))
+        .select("ledger_id", "line", "byte_offset", F.col("value").cast("string").alias("event"))
     )
 
 
@@ -276,13 +276,15 @@ def last_event(lines: DataFrame, before_offset: int | None = None) -> DataFrame:
 
 
 def _boundary(lines: DataFrame, pick) -> DataFrame:
-    full = lines.where(F.decode("value", F.lit("UTF-8")).rlike(r"\S"))
+    full = lines.where(F.col("value").cast("string").rlike(r"\S"))
     return full.groupBy("ledger_id").agg(
         pick(F.struct("line", "byte_offset", "byte_len", "value"), F.col("byte_offset")).alias("_b")
     ).select("ledger_id", "_b.*")
 
 
 def recent_events(lines: DataFrame, limit: int) -> DataFrame:
-    """Last ``limit`` non-blank lines of one ledger, oldest first."""
-    full = lines.where(F.decode("value", F.lit("UTF-8")).rlike(r"\S"))
-    return full.orderBy(F.desc("byte_offset")).limit(max(0, limit)).orderBy("byte_offset")
+    """Last ``limit`` non-blank lines of each ledger; Spark keeps only that
+    many per ledger before it shuffles."""
+    full = lines.where(F.col("value").cast("string").rlike(r"\S"))
+    newest = W.partitionBy("ledger_id").orderBy(F.desc("byte_offset"))
+    return full.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit).drop("_rank")

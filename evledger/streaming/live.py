@@ -13,6 +13,8 @@ from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.chain import chain_build, chain_heads
 from evledger.operators.policy import CapturePolicy, apply_policy, redaction_totals
+from evledger.operators.read import next_cursors, read_batches, zero_cursors
+from evledger.session import materialize
 from evledger.sources.capture import clip_events
 
 Policy = Callable[[DataFrame], DataFrame]
@@ -147,38 +149,51 @@ def clip_change_stream(clips: DataFrame, **options) -> DataFrame:
 # -- consumers ---------------------------------------------------------------
 
 
+def save_cursors(envelopes: DataFrame, path: str, before: DataFrame | None = None) -> DataFrame:
+    """Persist the positions of sound batches; others keep their old cursor."""
+    rows = next_cursors(envelopes)
+    if before is not None:
+        rows = rows.unionByName(before.join(rows, "ledger_id", "left_anti"))
+    rows = materialize(rows, "cursors-next")
+    rows.write.mode("overwrite").parquet(path)
+    return rows
+
+
 def cursor_stream(
-    lines: Callable[[], DataFrame],
+    lines: DataFrame,
     cursor_path: str,
-    ledger_id: str,
-    consume: Callable[[DataFrame], None],
+    consume: Callable[[DataFrame, int], None],
     *,
-    max_batches: int | None = None,
-    namespace: str = S.NAMESPACE,
+    max_rounds: int | None = None,
     **options,
-):
-    """Resume a consumer from its saved cursor until it has caught up.
+) -> DataFrame:
+    """Resume the consumers of all ledgers until they have caught up.
 
-    The identity and boundary of the ledger are checked before every batch.  A
-    changed, truncated or invalid ledger stops the consumer with that status;
-    the position is never rewound here.
+    Identity and boundary of each ledger are checked before every batch.  A
+    changed, truncated or invalid ledger is reported in the returned envelopes
+    and its position is left alone: it is never rewound here.
     """
-    from evledger.operators.read import load_cursor, read_incremental, save_cursor
-
-    done = 0
+    spark = lines.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cursor_path)
+    saved = None
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        saved = materialize(spark.read.parquet(cursor_path), "cursors-saved")
+    fresh = zero_cursors(lines)
+    cursors = fresh if saved is None else saved.unionByName(fresh.join(saved, "ledger_id", "left_anti"))
+    number, reports = 0, None
     while True:
-        table = lines()
-        spark = table.sparkSession
-        cursor = load_cursor(spark, cursor_path, namespace)
-        batch = read_incremental(table, ledger_id, after_cursor=cursor, namespace=namespace, **options)
-        if not batch.usable:
-            return batch
-        consume(batch.events)
-        save_cursor(batch, cursor_path, namespace)
-        done += 1
-        stuck = cursor is not None and batch.next_cursor.byte_offset <= cursor.byte_offset
-        if not batch.truncated or stuck or (max_batches and done >= max_batches):
-            return batch
+        events, envelopes, _ = read_batches(lines, cursors, **options)
+        envelopes = materialize(envelopes, "envelopes")
+        sound = envelopes.where((F.col("cursor_status") == "ok") & (F.col("chain_status") != "failed"))
+        consume(events.join(sound.select("ledger_id"), "ledger_id", "left_semi"), number)
+        saved = save_cursors(envelopes, cursor_path, saved)
+        number += 1
+        more = sound.where(F.col("truncated") & (F.col("bytes_read") > 0)).select("ledger_id")
+        done = envelopes.join(more, "ledger_id", "left_anti")
+        reports = done if reports is None else reports.unionByName(done)
+        if more.limit(1).count() == 0 or (max_rounds and number >= max_rounds):
+            return reports
+        cursors = saved.join(more, "ledger_id", "left_semi")
 
 
 class SourceMetricsListener(StreamingQueryListener):
