@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -79,47 +80,79 @@ def _text(value) -> str | None:
     return str(value or "").strip() or None
 
 
+_PLAIN_ID = re.compile(r"[A-Za-z0-9_.:-]{1,128}")
+
+
 def _safe_id(value) -> str | None:
+    if isinstance(value, str) and _PLAIN_ID.fullmatch(value):
+        return value
     text = _text(value)
     if text is None:
         return None
-    # isalnum per character, "_" and ".:-" also allowed
     if len(text) <= 128 and all(c.isalnum() or c in "_.:-" for c in text):
         return text
     return "invalid_identifier_sha256:" + hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
 
 
-_BLANK = ("blank",) + (None,) * 11
-
-
-def line_facts(raw: bytes) -> tuple:
-    """What verification and readers need to know about one raw line."""
-    if not raw.strip():
-        return _BLANK
+def _parse(raw: bytes):
+    """(event without content_hash, stored hash, calculated hash) or the problem text."""
     try:
         event = _object(raw.decode("utf-8"))
     except (ValueError, RecursionError) as exc:
-        return ("invalid", str(exc)) + (None,) * 10
-    previous = event.get("previous_hash")
+        return str(exc)
     stored = _text(event.pop("content_hash", None))
     try:
         calculated = _sha(_canonical(event))
     except ValueError:
         calculated = None
+    return event, stored, calculated
+
+
+def _previous(event: dict) -> tuple[str | None, bool]:
+    previous = event.get("previous_hash")
+    is_text = previous is None or isinstance(previous, str)
+    return _clean(previous if is_text else _text(previous)), is_text
+
+
+def line_checks(raw: bytes) -> tuple:
+    """(kind, problem, schema, event id, previous, previous is text, stored, calculated)."""
+    if not raw.strip():
+        return ("blank",) + (None,) * 7
+    parsed = _parse(raw)
+    if isinstance(parsed, str):
+        return ("invalid", parsed) + (None,) * 6
+    event, stored, calculated = parsed
     schema = event.get("schema")
-    raw_id = event.get("event_id")
-    text_ok = previous is None or isinstance(previous, str)
     return (
         "event",
         None,
-        schema if isinstance(schema, str) else None,
+        _clean(schema) if isinstance(schema, str) else None,
+        _safe_id(event.get("event_id")),
+        *_previous(event),
+        _clean(stored),
+        calculated,
+    )
+
+
+def line_facts(raw: bytes) -> tuple:
+    """What verification and readers need to know about one raw line."""
+    if not raw.strip():
+        return ("blank",) + (None,) * 11
+    parsed = _parse(raw)
+    if isinstance(parsed, str):
+        return ("invalid", parsed) + (None,) * 10
+    event, stored, calculated = parsed
+    schema, raw_id = event.get("schema"), event.get("event_id")
+    return (
+        "event",
+        None,
+        _clean(schema) if isinstance(schema, str) else None,
         _safe_id(raw_id),
         _clean(raw_id if isinstance(raw_id, str) else _text(raw_id)),
         _clean(str(event.get("source") or "")),
         _clean(str(event.get("event_type") or "")),
         _clean(str(event.get("project") or "")),
-        _clean(previous if text_ok else _text(previous)),
-        text_ok,
+        *_previous(event),
         _clean(stored),
         calculated,
     )
@@ -140,19 +173,15 @@ FACTS_ARROW = pa.struct(
 )
 
 
-def facts_array(raw: pa.Array) -> pa.StructArray:
+@F.arrow_udf(FACTS_TYPE)
+def event_facts(raw: pa.Array) -> pa.Array:
+    """Facts of raw line bytes, parsed and hashed once."""
     rows = [line_facts(v or b"") for v in raw.cast(pa.binary()).to_pylist()]
     columns = list(zip(*rows)) if rows else [()] * len(FACTS_ARROW)
     arrays = [pa.array(list(c), f.type) for c, f in zip(columns, FACTS_ARROW)]
     return pa.StructArray.from_arrays(arrays, fields=list(FACTS_ARROW))
 
 
-@F.arrow_udf(FACTS_TYPE)
-def event_facts(raw: pa.Array) -> pa.Array:
-    """Facts of raw line bytes, parsed and hashed once."""
-    return facts_array(raw)
-
-
 CHAIN_PARTS = T.StructType(
     [T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())]
 )
@@ -166,12 +195,25 @@ POLICY_PARTS = T.StructType(
 )
 
 
-def _body(row: dict) -> dict:
-    body = dict(row)
-    body["payload"] = json.loads(row["payload"] or "{}")
-    body["artifacts"] = json.loads(row["artifacts"] or "[]")
-    body["tags"] = list(row["tags"] or [])
-    return body
+def _bodies(body: pa.StructArray):
+    """Event dicts of a body struct, column by column (row scalars are slow)."""
+    columns = {}
+    for index, field in enumerate(body.type):
+        array = body.field(index)
+        if pa.types.is_struct(field.type):
+            names = [f.name for f in field.type]
+            parts = [array.field(i).to_pylist() for i in range(len(names))]
+            columns[field.name] = [dict(zip(names, row)) for row in zip(*parts)]
+        elif field.name in ("payload", "artifacts"):
+            empty = "{}" if field.name == "payload" else "[]"
+            columns[field.name] = [json.loads(v or empty) for v in array.to_pylist()]
+        elif field.name == "tags":
+            columns[field.name] = [v or [] for v in array.to_pylist()]
+        else:
+            columns[field.name] = array.to_pylist()
+    names = list(columns)
+    for row in zip(*columns.values()):
+        yield dict(zip(names, row))
 
 
 @F.arrow_udf(CHAIN_PARTS)
@@ -180,13 +222,15 @@ def chain_parts(body: pa.Array) -> pa.Array:
 
     The fold then only joins three strings and hashes them.
     """
+    # A one-time mark stands for the hash; it cannot occur in the data.
+    mark = uuid.uuid4().hex
+    slot = f'"previous_hash":"{mark}"'
     heads, tails = [], []
-    for row in body.to_pylist():
-        event = _body(row)
-        before = _canonical({k: v for k, v in event.items() if k < "previous_hash"})
-        after = _canonical({k: v for k, v in event.items() if k > "previous_hash"})
-        heads.append(before[:-1] + ("," if len(before) > 2 else "") + '"previous_hash":')
-        tails.append(("," if len(after) > 2 else "") + after[1:])
+    for event in _bodies(body):
+        event["previous_hash"] = mark
+        head, tail = _canonical(event).split(slot)
+        heads.append(head + '"previous_hash":')
+        tails.append(tail)
     return pa.StructArray.from_arrays(
         [pa.array(heads, pa.string()), pa.array(tails, pa.string())], ["head", "tail"]
     )
@@ -196,8 +240,7 @@ def chain_parts(body: pa.Array) -> pa.Array:
 def stored_line(body: pa.Array, previous: pa.Array, digest: pa.Array) -> pa.Array:
     """Ledger line of a chained event given its body columns and two hashes."""
     out = []
-    for row, prev, own in zip(body.to_pylist(), previous.to_pylist(), digest.to_pylist()):
-        event = _body(row)
+    for event, prev, own in zip(_bodies(body), previous.to_pylist(), digest.to_pylist()):
         event["previous_hash"], event["content_hash"] = prev, own
         out.append(_stored(event))
     return pa.array(out, pa.string())

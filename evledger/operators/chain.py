@@ -69,8 +69,11 @@ def _fold_round(prepared: DataFrame, heads: DataFrame | None, order: str) -> Dat
         [f for f in prepared.schema.fields if f.name not in ("_parts", "previous_hash")]
         + [T.StructField("previous_hash", T.StringType()), T.StructField("content_hash", T.StringType())]
     )
+    # A fixed width: the fold is Python-bound, so AQE must not merge its tasks
+    # by bytes.
+    width = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.repartition("ledger_id")
+        rows.repartition(width, "ledger_id")
         .sortWithinPartitions("ledger_id", order)
         .mapInArrow(_fold, out)
     )

@@ -22,13 +22,13 @@ def build_event(
     source: Column,
     event_type: Column,
     event_id: Column,
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     project: Column | None = None,
     cwd: Column | None = None,
     summary: Column | None = None,
     raw_text: Column | None = None,
     tags: Column | None = None,
-    artifacts: Column | None = None,
+    artifacts: Column | str | None = None,
     payload: Column | None = None,
     privacy_scope: Column | None = None,
     review_required: Column | None = None,
@@ -45,7 +45,7 @@ def build_event(
     columns = {
         "schema": F.lit(S.schema_id(S.EVENT, namespace)),
         "event_id": event_id,
-        "ts": ts if ts is not None else X.utc_iso(F.current_timestamp()),
+        "ts": X.utc_iso(F.current_timestamp()) if ts is None else F.lit(ts),
         "source": source,
         "event_type": event_type,
         "project": _or(project, X.basename_project(folder)),

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evledger.session import broadcast_if_small, materialize
+
 SEGMENT_ROWS = 250_000
 SEGMENT_BYTES = 128 * 1024 * 1024
 
@@ -108,20 +110,16 @@ def first_positions(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 def later_copies(df: DataFrame, keys: Sequence[str], order: str, salts: int = 16) -> DataFrame:
     """Rows that repeat an earlier row's key; the first copy is not returned.
 
-    The lookup side holds one row per repeated key and is replicated over
-    ``salts``, so that the copies of one hot key spread over that many tasks.
+    Repeated keys are usually few: their table is written and counted, and a
+    small one is broadcast, so the rows do not shuffle again.  A large one is
+    replicated over ``salts``, which spreads the copies of one hot key.
     """
-    firsts = first_positions(df, keys, order).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    return (
-        rows.join(firsts, [*keys, "_salt"])
-        .where(F.col(order) > F.col("_first_at"))
-        .drop("_salt", "_first_at")
-    )
-
-
-def log_order_top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First ``n`` rows in the given order: a TakeOrdered, never a full sort."""
-    return df.orderBy(*order).limit(n)
+    firsts = materialize(first_positions(df, keys, order), "first-copies")
+    small = broadcast_if_small(firsts)
+    if small is not firsts:
+        joined = df.join(small, list(keys))
+    else:
+        firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+        joined = rows.join(firsts, [*keys, "_salt"]).drop("_salt")
+    return joined.where(F.col(order) > F.col("_first_at")).drop("_first_at")

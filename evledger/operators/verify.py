@@ -43,20 +43,6 @@ _DETAILS = (
 )
 
 
-def link_broken() -> Column:
-    return ~(
-        F.col("previous_is_text")
-        & F.col("previous_hash").eqNullSafe(F.col("expected_previous_hash"))
-    )
-
-
-def hash_broken() -> Column:
-    return ~(
-        F.col("stored_hash").eqNullSafe(F.col("calculated_hash"))
-        & F.col("calculated_hash").isNotNull()
-    )
-
-
 def _error(code: str, message: Column | None = None, **details: Column) -> Column:
     text = message if message is not None else F.lit(MESSAGES[code])
     return F.struct(
@@ -88,7 +74,7 @@ def line_errors(facts: DataFrame, namespace: str = S.NAMESPACE) -> DataFrame:
         ),
         (event & F.col("event_id").isNull(), _error(S.MISSING_EVENT_ID)),
         (
-            event & link_broken(),
+            event & ~F.col("link_ok"),
             _error(
                 S.PREVIOUS_HASH_MISMATCH,
                 event_id=F.col("event_id"),
@@ -99,7 +85,7 @@ def line_errors(facts: DataFrame, namespace: str = S.NAMESPACE) -> DataFrame:
             ),
         ),
         (
-            event & hash_broken(),
+            event & ~F.col("hash_ok"),
             _error(
                 S.CONTENT_HASH_MISMATCH,
                 event_id=F.col("event_id"),

@@ -17,7 +17,7 @@ from evledger.operators.archive import seal
 from evledger.operators.chain import chain_build, chain_lines
 from evledger.operators.envelope import build_event
 from evledger.operators.verify import verify_errors
-from evledger.session import materialize, scratch_path, ship_package
+from evledger.session import materialize, scratch_path, ship_package, spread
 from evledger.sources.lines import ledger_lines, scan_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def _source() -> Column:
 
 def envelope(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``events`` as envelopes with (ledger_id, seq)."""
-    rows = table(spark, sf_dir, "events").select(
+    rows = spread(table(spark, sf_dir, "events")).select(
         F.format_string("ledger_%02d", F.col("user_id") % 32).alias("ledger_id"),
         F.col("event_id").alias("seq"),
         F.col("event_id").alias("_n"),

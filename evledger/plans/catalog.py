@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evledger.plans import base, event_queries, ledger_queries  # noqa: F401
+from evledger.plans import base, event_queries, ledger_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

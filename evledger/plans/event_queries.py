@@ -12,6 +12,7 @@ from evledger.operators import policy as P
 from evledger.operators import read as R
 from evledger.operators.envelope import union_sources
 from evledger.plans.base import CHAIN, ENV, LINES, chained, envelope, query, table
+from evledger.session import spread
 
 _FLAT = """ledger_id, seq, schema, event_id, ts, source, event_type, project, cwd, summary, raw_text,
   event_type || ',' || source AS tags, '[]' AS artifacts, props AS payload, 'local_only' AS scope,
@@ -353,7 +354,7 @@ def planted(spark, d):
         )
         .otherwise(F.col("text"))
     )
-    return table(spark, d, "documents").withColumn("planted", text)
+    return spread(table(spark, d, "documents")).withColumn("planted", text)
 
 
 @query("redact_text", f"WITH {REDACTED} SELECT doc_id, clean, hits FROM redacted")

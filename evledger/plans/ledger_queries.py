@@ -80,8 +80,9 @@ def chain_links(spark, d):
     f"""{DAMAGED} SELECT ledger_id, line, event_id, previous_event_id, expected_previous_hash FROM good""",
 )
 def chain_adjacency(spark, d):
+    lines = B.damaged_facts(spark, d).select("ledger_id", "line", "byte_offset", "byte_len", "value")
     return (
-        B.damaged_facts(spark, d)
+        L.table_facts(lines, BYTES)
         .where(F.col("kind") == "event")
         .select("ledger_id", "line", "event_id", "previous_event_id", "expected_previous_hash")
     )

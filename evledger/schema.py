@@ -115,6 +115,22 @@ FACTS_TYPE = T.StructType(
     ]
 )
 
+# The narrow facts verification keeps per line.  Hash texts of sound lines are
+# left null: only broken links and hashes need them in a report.
+CHECK_FIELDS = (
+    "kind",
+    "problem",
+    "schema_name",
+    "event_id",
+    "stored_hash",
+    "hash_ok",
+    "calculated_hash",
+    "link_ok",
+    "previous_hash",
+    "expected_previous_hash",
+    "previous_event_id",
+)
+
 BREAKPOINT_TYPE = T.StructType(
     [
         T.StructField("line", T.LongType()),

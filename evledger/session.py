@@ -82,6 +82,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a plain scan at least one partition per task slot.
+
+    For inputs of a few small files in front of CPU-bound work; a scan that
+    already fills the cluster is returned untouched, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     app = spark.conf.get("spark.app.id", "local")

@@ -62,7 +62,7 @@ def shell_history(
     own_name: str = "evledger",
     batch_threshold: int = 20,
     home: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
     """One event per command, or one batch event when a read holds too many."""
@@ -131,7 +131,7 @@ def clip_events(
     *,
     max_chars: int = CLIP_CHARS,
     home: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = ("clip_key", "pos"),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
@@ -168,7 +168,7 @@ def web_clips(
     *,
     mode: str = "auto",
     limit: int = CLIP_CHARS,
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = ("url",),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
@@ -267,7 +267,7 @@ def adapter_ingest(
     *,
     column: str = "document",
     cwd: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = (),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
@@ -320,7 +320,7 @@ def adapter_ingest(
 
 
 def manual_events(
-    notes: DataFrame, *, ts: Column | None = None, keep: tuple[str, ...] = ("note_id",), namespace: str = S.NAMESPACE
+    notes: DataFrame, *, ts: Column | str | None = None, keep: tuple[str, ...] = ("note_id",), namespace: str = S.NAMESPACE
 ) -> DataFrame:
     """Notes ``(note_id, source, event_type, project, cwd, summary, text, tags, fields)``.
 
@@ -344,7 +344,7 @@ def manual_events(
 
 
 def saved_clip_events(
-    clips: DataFrame, *, ts: Column | None = None, keep: tuple[str, ...] = ("clip_id",), namespace: str = S.NAMESPACE
+    clips: DataFrame, *, ts: Column | str | None = None, keep: tuple[str, ...] = ("clip_id",), namespace: str = S.NAMESPACE
 ) -> DataFrame:
     """Saved clips ``(clip_id, source, project, cwd, text, url, title)``."""
     return build_event(
@@ -370,7 +370,7 @@ def saved_clip_events(
 
 
 def command_run_events(
-    runs: DataFrame, *, ts: Column | None = None, keep: tuple[str, ...] = ("run_id",), namespace: str = S.NAMESPACE
+    runs: DataFrame, *, ts: Column | str | None = None, keep: tuple[str, ...] = ("run_id",), namespace: str = S.NAMESPACE
 ) -> DataFrame:
     """Results ``(run_id, project, cwd, command, shell, exit_code, duration_ms, stdout, stderr)``."""
     text = F.concat(
@@ -403,7 +403,7 @@ def command_run_events(
 
 
 def git_snapshot_events(
-    states: DataFrame, *, ts: Column | None = None, keep: tuple[str, ...] = ("state_id",), namespace: str = S.NAMESPACE
+    states: DataFrame, *, ts: Column | str | None = None, keep: tuple[str, ...] = ("state_id",), namespace: str = S.NAMESPACE
 ) -> DataFrame:
     """States ``(state_id, project, cwd, git_root, branch, head, status, names, stat, cached_stat)``."""
     root = F.nullif(F.col("git_root"), F.lit(""))

@@ -116,7 +116,7 @@ def change_batches(
     watch_root: Column | None = None,
     keys: tuple[str, ...] = ("root",),
     project: Column | None = None,
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     version: Column | None = None,
     source: str = "file-watch",
     namespace: str = S.NAMESPACE,
@@ -184,7 +184,7 @@ def watch_baseline(
     *,
     keys: tuple[str, ...] = ("root",),
     project: Column | None = None,
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     source: str = "file-watch",
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:

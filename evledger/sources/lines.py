@@ -16,9 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evledger.functions.canonical import FACTS_ARROW, facts_array
+from evledger.functions.canonical import event_facts, line_checks
 from evledger.operators.segments import SEGMENT_BYTES, lag_value
-from evledger.schema import FACTS_TYPE
+from evledger.schema import CHECK_FIELDS
 from evledger.session import broadcast_if_small, materialize
 
 _BOM = b"\xef\xbb\xbf"
@@ -31,14 +31,72 @@ _POSITION_FIELDS = [
     T.StructField("local_start", T.LongType()),
     T.StructField("local_len", T.LongType()),
 ]
-_LINK_FIELDS = [
-    T.StructField("prev_seen", T.BooleanType()),
-    T.StructField("prev_hash", T.StringType()),
-    T.StructField("prev_id", T.StringType()),
-]
+_CHECK_TYPES = {
+    "kind": T.StringType(),
+    "problem": T.StringType(),
+    "schema_name": T.StringType(),
+    "event_id": T.StringType(),
+    "stored_hash": T.StringType(),
+    "hash_ok": T.BooleanType(),
+    "calculated_hash": T.StringType(),
+    "link_ok": T.BooleanType(),
+    "previous_hash": T.StringType(),
+    "previous_is_text": T.BooleanType(),
+    "expected_previous_hash": T.StringType(),
+    "previous_event_id": T.StringType(),
+}
+
+
+def _check_lines(values: list[bytes], fresh, previous):
+    """Check columns of consecutive lines.
+
+    ``previous`` is (stored hash, id) of the preceding event in the same
+    split; the first event of a split leaves ``link_ok`` null, to be settled
+    from the split before it.
+    """
+    rows = []
+    for raw, new_split in zip(values, fresh):
+        if new_split:
+            previous = None
+        kind, problem, schema, event_id, before, is_text, stored, calculated = line_checks(raw)
+        if kind != "event":
+            rows.append((kind, problem) + (None,) * 10)
+            continue
+        hash_ok = stored is not None and stored == calculated
+        link_ok = None if previous is None else is_text and before == previous[0]
+        sound = link_ok is True
+        rows.append(
+            (
+                kind,
+                None,
+                schema,
+                event_id,
+                stored,
+                hash_ok,
+                None if hash_ok else calculated,
+                link_ok,
+                None if sound else before,
+                None if sound else is_text,
+                None if sound or previous is None else previous[0],
+                None if sound or previous is None else previous[1],
+            )
+        )
+        previous = (stored, event_id)
+    columns = list(zip(*rows)) if rows else [()] * len(_CHECK_TYPES)
+    arrays = [
+        pa.array(list(c), pa.bool_() if isinstance(t, T.BooleanType) else pa.string())
+        for c, t in zip(columns, _CHECK_TYPES.values())
+    ]
+    return arrays, previous
 
 
 def _scan_pass(keep_value: bool, with_facts: bool):
+    fields = list(_POSITION_FIELDS)
+    if keep_value:
+        fields.append(T.StructField("value", T.BinaryType()))
+    if with_facts:
+        fields += [T.StructField(n, t) for n, t in _CHECK_TYPES.items()]
+
     def run(batches):
         split, offset, line, previous = None, 0, 0, None
         for batch in batches:
@@ -65,31 +123,13 @@ def _scan_pass(keep_value: bool, with_facts: bool):
             if keep_value:
                 out.append(values)
             if with_facts:
-                facts = facts_array(values)
-                out += facts.flatten()
-                seen, hashes, ids = [], [], []
-                kinds = facts.field("kind").to_pylist()
-                stored = facts.field("stored_hash").to_pylist()
-                names = facts.field("event_id").to_pylist()
-                for i in range(rows):
-                    if fresh[i]:
-                        previous = None
-                    seen.append(previous is not None)
-                    hashes.append(previous and previous[0])
-                    ids.append(previous and previous[1])
-                    if kinds[i] == "event":
-                        previous = (stored[i], names[i])
-                out += [pa.array(seen), pa.array(hashes, pa.string()), pa.array(ids, pa.string())]
+                checks, previous = _check_lines(values.to_pylist(), fresh.tolist(), previous)
+                out += checks
             split = (paths[-1].as_py(), blocks[-1].as_py())
             offset = int(local_start[-1] + size[-1])
             line = int(local_line[-1]) + 1
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    fields = list(_POSITION_FIELDS)
-    if keep_value:
-        fields.append(T.StructField("value", T.BinaryType()))
-    if with_facts:
-        fields += list(FACTS_TYPE.fields) + _LINK_FIELDS
     return run, T.StructType(fields)
 
 
@@ -203,14 +243,24 @@ def scan_ledger(
     if with_facts:
         # A byte order mark is not JSON: the line fails as it would unstripped.
         marked = first_row & (F.col("_bom") > 0) & (F.col("kind") == "event")
-        placed = (
-            placed.withColumn("_kind", F.when(marked, F.lit("invalid")).otherwise(F.col("kind")))
-            .withColumn("kind", F.col("_kind"))
-            .withColumn("expected_previous_hash", F.when(F.col("prev_seen"), F.col("prev_hash")).otherwise(F.col("edge.stored_hash")))
-            .withColumn("previous_event_id", F.when(F.col("prev_seen"), F.col("prev_id")).otherwise(F.col("edge.event_id")))
+        opens = F.col("link_ok").isNull()
+        expected = F.when(opens, F.col("edge.stored_hash")).otherwise(F.col("expected_previous_hash"))
+        holds = F.col("previous_is_text") & F.col("previous_hash").eqNullSafe(F.col("edge.stored_hash"))
+        placed = placed.select(
+            *columns,
+            F.when(marked, F.lit("invalid")).otherwise(F.col("kind")).alias("kind"),
+            "problem",
+            "schema_name",
+            "event_id",
+            "stored_hash",
+            "hash_ok",
+            "calculated_hash",
+            F.when(opens, holds).otherwise(F.col("link_ok")).alias("link_ok"),
+            "previous_hash",
+            expected.alias("expected_previous_hash"),
+            F.when(opens, F.col("edge.event_id")).otherwise(F.col("previous_event_id")).alias("previous_event_id"),
         )
-        columns += [f.name for f in FACTS_TYPE.fields]
-        columns += ["expected_previous_hash", "previous_event_id"]
+        columns += list(CHECK_FIELDS)
     return placed.select(*columns)
 
 
@@ -224,8 +274,6 @@ def table_facts(lines: DataFrame, width: int = SEGMENT_BYTES) -> DataFrame:
 
     Hashing is row-wise; only the narrow facts shuffle for the link check.
     """
-    from evledger.functions.canonical import event_facts
-
     facts = lines.withColumn("_f", event_facts(F.col("value"))).select(
         *[c for c in lines.columns if c != "value"], "_f.*"
     )
@@ -236,21 +284,21 @@ def table_facts(lines: DataFrame, width: int = SEGMENT_BYTES) -> DataFrame:
     linked = lag_value(
         events, ["ledger_id"], "byte_offset", F.struct("stored_hash", "event_id"), "_prev", width
     ).select("ledger_id", "byte_offset", "_prev")
+    holds = F.col("previous_is_text") & F.col("previous_hash").eqNullSafe(F.col("_prev.stored_hash"))
+    agrees = F.coalesce(F.col("stored_hash") == F.col("calculated_hash"), F.lit(False))
+    event = F.col("kind") == "event"
     return (
         facts.join(linked, ["ledger_id", "byte_offset"], "left")
         .withColumn("expected_previous_hash", F.col("_prev.stored_hash"))
         .withColumn("previous_event_id", F.col("_prev.event_id"))
+        .withColumn("link_ok", F.when(event, holds))
+        .withColumn("hash_ok", F.when(event, agrees))
         .drop("_prev")
     )
 
 
-assert len(FACTS_ARROW) == len(FACTS_TYPE.fields)
-
-
 def read_events(lines: DataFrame) -> DataFrame:
     """Whole-ledger strict read: blank lines skipped, the first bad line raises."""
-    from evledger.functions.canonical import event_facts
-
     facts = lines.withColumn("_f", event_facts(F.col("value")))
     bad = F.concat(
         F.lit("Invalid JSON in "), F.col("ledger_id"), F.lit(" line "), F.col("line").cast("string")

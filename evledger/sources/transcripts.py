@@ -48,7 +48,7 @@ def _turn(
     payload: dict[str, Column],
     max_chars: int,
     namespace: str,
-    ts: Column | None,
+    ts: Column | str | None,
     keep: tuple[str, ...],
 ) -> DataFrame:
     """Shared envelope of all agents; ``body`` holds the untruncated text."""
@@ -81,7 +81,7 @@ def claude_code_turns(
     include_sidechain: bool = False,
     max_chars: int = MAX_CHARS,
     home: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = ("path", "byte_offset"),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
@@ -131,7 +131,7 @@ def codex_turns(
     include_assistant: bool = True,
     max_chars: int = MAX_CHARS,
     home: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = ("path", "byte_offset"),
     namespace: str = S.NAMESPACE,
     width: int = SEGMENT_BYTES,
@@ -185,7 +185,7 @@ def cursor_turns(
     include_assistant: bool = True,
     max_chars: int = MAX_CHARS,
     home: str = "",
-    ts: Column | None = None,
+    ts: Column | str | None = None,
     keep: tuple[str, ...] = ("path", "byte_offset"),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
