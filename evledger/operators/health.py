@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evledger.functions import text as X
-from evledger.operators.read import EventBatch
+from evledger.session import broadcast_if_small, materialize
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 
@@ -56,31 +57,80 @@ def distinct_sources(events: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(values: DataFrame, column: str, fractions: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by rounded rank: the value at round-half-even((n-1)*f).
+_EDGES = 1000
 
-    Equal values are counted first, and ranks come from a running sum over
-    distinct values, so a group is never collected into one array.
+
+def order_statistics(
+    values: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]], by: tuple[str, ...]
+) -> DataFrame:
+    """Exact values at given ranks (0-based, a function of the group's count).
+
+    A group may be any size, so it is never collected or sorted in one place:
+    equal values are counted, approximate quantiles cut each group into about
+    a thousand ranges, and only the range that holds a wanted rank is ordered.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
-        F.count(F.lit(1)).alias("_n")
+    keys = [F.col(k) for k in by]
+    known = values.where(F.col(column).isNotNull())
+    counts = known.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = [i / _EDGES for i in range(1, _EDGES)]
+    groups = materialize(
+        known.groupBy(*keys).agg(
+            F.percentile_approx(column, cuts, 100_000).alias("_edges"), F.count(F.lit(1)).alias("_total")
+        ),
+        "edges",
+    )
+    ranges = materialize(
+        counts.join(broadcast_if_small(groups.drop("_total"), 10_000), list(by))
+        .withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(column))))
+        .drop("_edges"),
+        "ranges",
+    )
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = (
+        ranges.groupBy(*by, "_range")
+        .agg(F.sum("_n").alias("_size"))
+        .withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .join(groups.drop("_edges"), list(by))
+    )
+    wanted = F.array(
+        *[F.struct(F.lit(n).alias("name"), f(F.col("_total")).cast("long").alias("rank")) for n, f in ranks.items()]
     )
-    upto = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(W.partitionBy(*by))
+    wanted = (
+        sizes.withColumn("w", F.explode(wanted))
+        .where((F.col("_base") <= F.col("w.rank")) & (F.col("w.rank") < F.col("_base") + F.col("_size")))
+        .select(*by, "_range", (F.col("w.rank") - F.col("_base")).alias("_at"), F.col("w.name").alias("_name"))
     )
-    aggs = []
-    for name, fraction in fractions.items():
-        index = F.bround((F.col("_total") - 1) * F.lit(fraction)).cast("long")
-        hit = (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
-        aggs.append(F.max(F.when(hit, F.col(column))).alias(name))
-    return ranked.groupBy(*by).agg(*aggs)
+    inside = W.partitionBy(*by, "_range").orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
+    holding = ranges.join(wanted.select(*by, "_range").distinct(), [*by, "_range"], "left_semi")
+    found = (
+        holding.withColumn("_upto", F.sum("_n").over(inside))
+        .join(wanted, [*by, "_range"])
+        .where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
+    )
+    return found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col(column))).alias(n) for n in ranks]
+    )
+
+
+def nearest_rank(fraction: float) -> Callable[[Column], Column]:
+    """Rank of a percentile: (n-1)*f rounded half to even."""
+    return lambda total: F.bround((total - 1) * F.lit(fraction))
 
 
 def latency_report(values: DataFrame, column: str, by: tuple[str, ...]) -> DataFrame:
     """p50 (median), p95 (nearest rank) and maximum per group."""
-    exact = values.groupBy(*by).agg(F.median(column).alias("p50"), F.max(column).alias("max"))
-    return exact.join(nearest_rank(values, column, {"p95": 0.95}, by), list(by))
+    stats = order_statistics(
+        values,
+        column,
+        {
+            "_low": lambda n: F.floor((n - 1) / 2),
+            "_high": lambda n: F.ceil((n - 1) / 2),
+            "p95": nearest_rank(0.95),
+            "max": lambda n: n - 1,
+        },
+        by,
+    )
+    return stats.select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95", "max")
 
 
 def latest_label(events: DataFrame, order: str = "seq") -> DataFrame:
@@ -99,12 +149,11 @@ def _check(df: DataFrame, name: str, status: Column, detail: Column) -> DataFram
     return df.select(F.lit(name).alias("name"), status.alias("status"), detail.alias("detail"))
 
 
-def health_cursor(batch: EventBatch) -> DataFrame:
-    """The first batch of a ledger must be readable and sound."""
-    row = batch.envelope(batch.events.sparkSession)
+def health_cursor(envelopes: DataFrame) -> DataFrame:
+    """The first batch of every ledger must be readable and sound."""
     ok = (F.col("cursor_status") == "ok") & (F.col("chain_status") != "failed")
     return _check(
-        row,
+        envelopes,
         "cursor protocol",
         F.when(ok, PASS).otherwise(FAIL),
         F.when(

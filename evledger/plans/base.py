@@ -50,9 +50,13 @@ def _source() -> Column:
     return F.when(rest == 0, "codex").when(rest == 1, "cursor").otherwise("browser")
 
 
-def envelope(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as envelopes with (ledger_id, seq)."""
-    rows = spread(table(spark, sf_dir, "events")).select(
+    return to_envelope(spread(table(spark, sf_dir, "events")))
+
+
+def to_envelope(events: DataFrame) -> DataFrame:
+    rows = events.select(
         F.format_string("ledger_%02d", F.col("user_id") % 32).alias("ledger_id"),
         F.col("event_id").alias("seq"),
         F.col("event_id").alias("_n"),
@@ -60,7 +64,6 @@ def envelope(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Da
         "event_type",
         "props",
         "user_id",
-        "value",
     )
     user = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     return build_event(
@@ -74,7 +77,7 @@ def envelope(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Da
         raw_text=F.concat(F.col("event_type"), F.repeat(F.lit(" detail"), (F.col("_n") % 40).cast("int"))),
         tags=F.array(F.col("event_type"), _source()),
         payload=F.col("props"),
-        keep=("ledger_id", "seq", *keep),
+        keep=("ledger_id", "seq"),
     )
 
 

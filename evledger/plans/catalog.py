@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from evledger.plans import base, event_queries, ledger_queries, source_queries  # noqa: F401
+from evledger.plans import (  # noqa: F401
+    base,
+    event_queries,
+    ledger_queries,
+    report_queries,
+    source_queries,
+)
 
 
 def queries() -> dict[str, base.Query]:
