@@ -211,7 +211,8 @@ def health_coverage(coverage: DataFrame) -> DataFrame:
 def health_freshness(status: DataFrame, now: Column, max_age: float = 30.0) -> DataFrame:
     """Age of ``updated_ts`` against a supplied time; a bad time is a warning."""
     updated = F.try_to_timestamp(F.nullif(F.col("updated_ts"), F.lit("")))
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(updated)) / F.lit(1e6))
+    seconds = (F.unix_micros(now) - F.unix_micros(updated)) / F.lit(1e6)
+    age = F.when(seconds < 0, F.lit(0.0)).otherwise(seconds)  # null stays null
     shown = F.bround(age).cast("long").cast("string")
     limit = str(int(round(max_age)))
     return _check(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evledger.plans import (  # noqa: F401
     base,
+    bulk_queries,
     event_queries,
     ledger_queries,
     report_queries,
