@@ -148,6 +148,21 @@ def chain_lines(chained: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
+def write_ledger(events: DataFrame, path: str, order: str = "seq") -> None:
+    """Write ledgers as JSON lines: one folder per ledger, files in log order.
+
+    Takes chained events, or rows that already have ``value``.  A range
+    partition reads its input twice, so the input is a written table and lines
+    are spelled after the exchange.  It also cuts a hot ledger into several
+    files whose names keep log order.
+    """
+    width = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = events.repartitionByRange(width, "ledger_id", order).sortWithinPartitions("ledger_id", order)
+    if "value" not in events.columns:
+        placed = chain_lines(placed, order)
+    placed.select("ledger_id", "value").write.partitionBy("ledger_id").text(path)
+
+
 def chain_links(events: DataFrame, order: str = "seq", width: int = SEGMENT_ROWS) -> DataFrame:
     """Expected previous hash of every event and whether its link holds."""
     linked = lag_value(

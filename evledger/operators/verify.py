@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.segments import later_copies
-from evledger.session import materialize
+from evledger.session import broadcast_if_small, materialize
 from evledger.sources.lines import ledger_of_path, scan_ledger
 
 # Message of each error code.
@@ -152,33 +152,67 @@ def seal_gate(errors: DataFrame) -> DataFrame:
 def verify_summary(facts: DataFrame, errors: DataFrame) -> DataFrame:
     """One row per ledger: counts, boundary hashes and validity."""
     event = F.col("kind") == "event"
-    stored = X.safe_hash(F.col("stored_hash"))
     at = F.when(event, F.col("byte_offset"))
-    scanned = facts.groupBy("ledger_id").agg(
-        F.count_if(event).alias("event_count"),
-        F.sum("byte_len").alias("byte_size"),
-        F.min_by("stored_hash", F.when(stored.isNotNull(), at)).alias("_first"),
-        F.max_by("event_id", at).alias("last_event_id"),
-        F.max_by("stored_hash", at).alias("_last"),
+    named = F.when(event & X.optional_text(F.col("stored_hash")).isNotNull(), F.col("byte_offset"))
+    # Numbers first, in a hash aggregate; then the two boundary rows by position.
+    scanned = materialize(
+        facts.groupBy("ledger_id").agg(
+            F.count_if(event).alias("event_count"),
+            F.sum("byte_len").alias("byte_size"),
+            F.min(named).alias("_first_at"),
+            F.max(at).alias("_last_at"),
+        ),
+        "ledger-sizes",
+    )
+    edges = broadcast_if_small(scanned.select("ledger_id", "_first_at", "_last_at"))
+    bounds = (
+        facts.select("ledger_id", "byte_offset", "stored_hash", "event_id")
+        .join(edges, "ledger_id")
+        .where((F.col("byte_offset") == F.col("_first_at")) | (F.col("byte_offset") == F.col("_last_at")))
+        .groupBy("ledger_id")
+        .agg(
+            F.max(F.when(F.col("byte_offset") == F.col("_first_at"), F.col("stored_hash"))).alias("_first"),
+            F.max(F.when(F.col("byte_offset") == F.col("_last_at"), F.col("event_id"))).alias("last_event_id"),
+            F.max(F.when(F.col("byte_offset") == F.col("_last_at"), F.col("stored_hash"))).alias("_last"),
+        )
     )
+    totals = scanned.join(bounds, "ledger_id", "left").withColumnsRenamed(
+        {"_first": "first_hash", "_last": "last_hash"}
+    )
+    return _summary(totals, errors)
+
+
+def _summary(totals: DataFrame, errors: DataFrame) -> DataFrame:
     broken = errors.groupBy("ledger_id").agg(
         F.count(F.lit(1)).alias("error_count"),
         F.count_if(F.col("code") == S.PREVIOUS_HASH_MISMATCH).alias("breakpoint_count"),
     )
     zero = F.lit(0).cast("long")
-    return scanned.join(broken, "ledger_id", "left").select(
+    return totals.join(broken, "ledger_id", "left").select(
         "ledger_id",
         "event_count",
         "byte_size",
-        X.safe_hash(F.col("_first")).alias("first_content_hash"),
+        X.safe_hash(F.col("first_hash")).alias("first_content_hash"),
         "last_event_id",
-        X.safe_hash(F.col("_last")).alias("last_content_hash"),
+        X.safe_hash(F.col("last_hash")).alias("last_content_hash"),
         F.coalesce("error_count", zero).alias("error_count"),
         F.coalesce("breakpoint_count", zero).alias("breakpoint_count"),
         F.col("error_count").isNull().alias("valid"),
     )
 
 
+def split_totals(splits: DataFrame) -> DataFrame:
+    """Ledger totals from the split table of a scan, a few rows per file."""
+    at = F.struct("path", "block_start")
+    return splits.groupBy("ledger_id").agg(
+        F.sum("events").alias("event_count"),
+        F.sum("_size").alias("byte_size"),
+        F.min_by("first_hash", F.when(F.col("first_hash").isNotNull(), at)).alias("first_hash"),
+        F.max_by("last_event.event_id", F.when(F.col("last_event").isNotNull(), at)).alias("last_event_id"),
+        F.max_by("last_event.stored_hash", F.when(F.col("last_event").isNotNull(), at)).alias("last_hash"),
+    )
+
+
 def file_versions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Size and modification time of each ledger file, content not read."""
     return spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
@@ -225,12 +259,13 @@ def verify_ledger(
     between adds an error to its ledger.
     """
     before = materialize(file_versions(spark, paths), "listing")
-    facts = scan_ledger(spark, paths, ledger=ledger)
-    errors = verify_errors(facts, namespace)
+    scan = scan_ledger(spark, paths, ledger=ledger)
+    errors = verify_errors(scan.lines, namespace)
     after = materialize(file_versions(spark, paths), "listing")
     name = ledger if ledger is not None else ledger_of_path(F.col("path"))
     changed = verify_changed(before, after).withColumn("ledger_id", name)
     errors = errors.unionByName(
         changed.select("ledger_id", "code", "message").distinct(), allowMissingColumns=True
     )
-    return verify_summary(facts, errors), errors
+    errors = materialize(errors, "errors")
+    return _summary(split_totals(scan.splits), errors), errors

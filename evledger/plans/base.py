@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evledger.functions import text as X
 from evledger.operators.archive import seal
-from evledger.operators.chain import chain_build, chain_lines
+from evledger.operators.chain import chain_build, chain_lines, write_ledger
 from evledger.operators.envelope import build_event
 from evledger.operators.verify import verify_errors
 from evledger.session import materialize, scratch_path, ship_package, spread
@@ -175,25 +175,15 @@ def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_ledger_files(lines: DataFrame) -> str:
-    """Write (ledger_id, seq, value) as JSON lines, one folder per ledger.
-
-    The range partition cuts a hot ledger into several files whose names keep
-    log order.
-    """
+    """Write (ledger_id, seq, value) as JSON lines, one folder per ledger."""
     path = scratch_path(lines.sparkSession, "ledger-text")
-    (
-        lines.repartitionByRange("ledger_id", "seq")
-        .sortWithinPartitions("ledger_id", "seq")
-        .select("ledger_id", "value")
-        .write.partitionBy("ledger_id")
-        .text(path)
-    )
+    write_ledger(lines, path)
     return path
 
 
 def ledger_files(spark: SparkSession, sf_dir: str) -> str:
     """Ledger text of the clean chain."""
-    return shared(spark, sf_dir, "files", lambda: write_ledger_files(line_texts(spark, sf_dir)))
+    return shared(spark, sf_dir, "files", lambda: write_ledger_files(chained(spark, sf_dir)))
 
 
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +263,7 @@ def damaged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         "damaged",
         lambda: materialize(
-            scan_ledger(spark, write_ledger_files(damaged_texts(spark, sf_dir)), keep_value=True), "damaged"
+            scan_ledger(spark, write_ledger_files(damaged_texts(spark, sf_dir)), keep_value=True).lines, "damaged"
         ),
     )
 

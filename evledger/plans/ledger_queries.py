@@ -38,7 +38,8 @@ def capture_and_verify(spark, d):
     events = B.envelope(spark, d)
     accepted = P.apply_policy(events, P.CapturePolicy()).where("accepted")
     chained = H.chain_build(accepted.drop("accepted", "reason", "redaction_count"))
-    path = B.write_ledger_files(H.chain_lines(chained).select("ledger_id", "seq", "value"))
+    path = scratch_path(spark, "captured")
+    H.write_ledger(materialize(chained, "captured-events"), path)
     summary, _ = V.verify_ledger(spark, path)
     return summary.select(*_SUMMARY)
 

@@ -8,6 +8,8 @@ are checked, through one small row per split.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evledger.functions.canonical import event_facts, line_checks
 from evledger.operators.segments import SEGMENT_BYTES, lag_value
@@ -47,17 +50,15 @@ _CHECK_TYPES = {
 }
 
 
-def _check_lines(values: list[bytes], fresh, previous):
-    """Check columns of consecutive lines.
+def _check_lines(values: list[bytes], previous):
+    """Check rows of consecutive lines of one split.
 
     ``previous`` is (stored hash, id) of the preceding event in the same
     split; the first event of a split leaves ``link_ok`` null, to be settled
     from the split before it.
     """
     rows = []
-    for raw, new_split in zip(values, fresh):
-        if new_split:
-            previous = None
+    for raw in values:
         kind, problem, schema, event_id, before, is_text, stored, calculated = line_checks(raw)
         if kind != "event":
             rows.append((kind, problem) + (None,) * 10)
@@ -82,12 +83,10 @@ def _check_lines(values: list[bytes], fresh, previous):
             )
         )
         previous = (stored, event_id)
-    columns = list(zip(*rows)) if rows else [()] * len(_CHECK_TYPES)
-    arrays = [
-        pa.array(list(c), pa.bool_() if isinstance(t, T.BooleanType) else pa.string())
-        for c, t in zip(columns, _CHECK_TYPES.values())
-    ]
-    return arrays, previous
+    return rows, previous
+
+
+_EDGE = "edge"  # kind of the one row per split that sums it up
 
 
 def _scan_pass(keep_value: bool, with_facts: bool):
@@ -96,39 +95,74 @@ def _scan_pass(keep_value: bool, with_facts: bool):
         fields.append(T.StructField("value", T.BinaryType()))
     if with_facts:
         fields += [T.StructField(n, t) for n, t in _CHECK_TYPES.items()]
+        fields.append(T.StructField("events", T.LongType()))
+    else:
+        fields.append(T.StructField("kind", T.StringType()))
+    schema = to_arrow_schema(T.StructType(fields))
+
+    def batch_of(head, start_line, start_at, values):
+        """Rows of one split piece, positions vectorised."""
+        rows = len(values)
+        size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = np.cumsum(size)
+        out = [pa.array([v] * rows, t.type) for v, t in zip(head, schema)]
+        out += [pa.array(a) for a in (np.arange(rows) + start_line, ends - size + start_at, size)]
+        if keep_value:
+            out.append(values)
+        return out, int(ends[-1])
 
     def run(batches):
-        split, offset, line, previous = None, 0, 0, None
+        split, size, offset, line = None, None, 0, 0
+        previous = first = None
+        events = 0
+
+        def edge():
+            """Totals of a finished split and its last event."""
+            row = dict.fromkeys(schema.names)
+            row.update(path=split[0], block_start=split[1], file_size=size)
+            row.update(local_line=line, local_start=offset, local_len=0, kind=_EDGE)
+            if with_facts:
+                row.update(events=events, problem=first, link_ok=previous is not None)
+                if previous is not None:
+                    row.update(stored_hash=previous[0], event_id=previous[1])
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
+            if not batch.num_rows:
                 continue
             paths, blocks = batch.column("path"), batch.column("block_start")
-            fresh = np.ones(rows, dtype=bool)
-            fresh[0] = split != (paths[0].as_py(), blocks[0].as_py())
-            fresh[1:] = pc.or_(
+            rows = batch.num_rows
+            changes = pc.or_(
                 pc.not_equal(paths.slice(1), paths.slice(0, rows - 1)),
                 pc.not_equal(blocks.slice(1), blocks.slice(0, rows - 1)),
             ).to_numpy(zero_copy_only=False)
-            values = batch.column("value")
-            size = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            start = np.cumsum(size) - size
-            index = np.arange(rows)
-            head = np.maximum.accumulate(np.where(fresh, index, 0))
-            carried = (head == 0) & (not fresh[0])
-            local_start = start - start[head] + np.where(carried, offset, 0)
-            local_line = index - head + np.where(carried, line, 0)
-            out = [paths, blocks, batch.column("file_size")]
-            out += [pa.array(a) for a in (local_line, local_start, size)]
-            if keep_value:
-                out.append(values)
-            if with_facts:
-                checks, previous = _check_lines(values.to_pylist(), fresh.tolist(), previous)
-                out += checks
-            split = (paths[-1].as_py(), blocks[-1].as_py())
-            offset = int(local_start[-1] + size[-1])
-            line = int(local_line[-1]) + 1
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                here = (paths[begin].as_py(), blocks[begin].as_py())
+                if here != split:
+                    if split is not None:
+                        yield edge()
+                    split, size, offset, line = here, batch.column("file_size")[begin].as_py(), 0, 0
+                    previous, first, events = None, None, 0
+                values = batch.column("value").slice(begin, end - begin)
+                out, length = batch_of((*split, size), line, offset, values)
+                if with_facts:
+                    checks, previous = _check_lines(values.to_pylist(), previous)
+                    columns = list(zip(*checks))
+                    out += [
+                        pa.array(list(c), schema.field(n).type) for c, n in zip(columns, _CHECK_TYPES)
+                    ]
+                    out.append(pa.nulls(len(values), pa.int64()))
+                    events += columns[0].count("event")
+                    if first is None:
+                        first = next((h for h in columns[4] if h is not None), None)
+                else:
+                    out.append(pa.array(["line"] * len(values)))
+                offset += length
+                line += len(values)
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+        if split is not None:
+            yield edge()
 
     return run, T.StructType(fields)
 
@@ -154,6 +188,11 @@ def ledger_of_path(path: Column) -> Column:
     )
 
 
+class LedgerScan(NamedTuple):
+    lines: DataFrame  # one row per physical line
+    splits: DataFrame  # one row per file split: totals and last event
+
+
 def scan_ledger(
     spark: SparkSession,
     paths: str | list[str],
@@ -162,14 +201,14 @@ def scan_ledger(
     keep_value: bool = False,
     ledger: Column | None = None,
     glob: str | None = None,
-) -> DataFrame:
-    """One pass over ledger text; one row per physical line.
-
-    Columns: ledger_id, path, line (from 1), byte_offset, byte_len, terminated
-    and, on request, ``value`` and the line facts with the expected previous
-    hash.  A ledger kept as several files is read in path order as one log.
-    The pass is written once to the shared folder; everything that follows
-    reads narrow columns of that table.
+) -> LedgerScan:
+    """One pass over ledger text.
+
+    Lines have ledger_id, path, line (from 1), byte_offset, byte_len,
+    terminated and, on request, ``value`` and the check columns.  A ledger
+    kept as several files is read in path order as one log.  The pass is
+    written once to the shared folder; everything that follows reads narrow
+    columns of that table.
     """
     run, schema = _scan_pass(keep_value, with_facts)
     staged = materialize(
@@ -178,19 +217,23 @@ def scan_ledger(
         .withColumn("ledger_id", ledger if ledger is not None else ledger_of_path(F.col("path"))),
         "scan",
     )
-    aggs = [
-        F.first("file_size").alias("file_size"),
-        (F.max("local_line") + 1).alias("lines"),
-        F.max(F.col("local_start") + F.col("local_len")).alias("bytes"),
+    is_edge = F.col("kind") == _EDGE
+    columns = [
+        "ledger_id",
+        "path",
+        "block_start",
+        "file_size",
+        F.col("local_line").alias("lines"),
+        F.col("local_start").alias("bytes"),
     ]
     if with_facts:
-        aggs.append(
-            F.max_by(
-                F.when(F.col("kind") == "event", F.struct("stored_hash", "event_id")),
-                F.when(F.col("kind") == "event", F.col("local_line")),
-            ).alias("last_event")
-        )
-    splits = staged.groupBy("ledger_id", "path", "block_start").agg(*aggs)
+        columns += [
+            "events",
+            F.col("problem").alias("first_hash"),
+            F.when(F.col("link_ok"), F.struct("stored_hash", "event_id")).alias("last_event"),
+        ]
+    splits = staged.where(is_edge).select(*columns)
+    staged = staged.where(~is_edge)
     in_file = W.partitionBy("ledger_id", "path")
     in_log = W.partitionBy("ledger_id").orderBy("path", "block_start")
     before = in_log.rowsBetween(W.unboundedPreceding, -1)
@@ -207,13 +250,15 @@ def scan_ledger(
         .withColumn("line_base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
         .withColumn("byte_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     )
-    keep = ["ledger_id", "path", "block_start", "lines", "line_base", "byte_base", "_open", "_bom"]
+    place = ["ledger_id", "path", "block_start", "lines", "line_base", "byte_base", "_open", "_bom"]
+    keep = [*place, "_size"]
     if with_facts:
         splits = splits.withColumn("edge", F.last("last_event", ignorenulls=True).over(before))
-        keep.append("edge")
+        place.append("edge")
+        keep += ["edge", "events", "first_hash", "last_event"]
     splits = materialize(splits.select(*keep), "splits")
     placed = staged.join(
-        broadcast_if_small(splits), ["ledger_id", "path", "block_start"]
+        broadcast_if_small(splits.select(*place)), ["ledger_id", "path", "block_start"]
     )
     first_row = F.col("local_line") == 0
     last_row = F.col("local_line") == F.col("lines") - 1
@@ -261,12 +306,12 @@ def scan_ledger(
             F.when(opens, F.col("edge.event_id")).otherwise(F.col("previous_event_id")).alias("previous_event_id"),
         )
         columns += list(CHECK_FIELDS)
-    return placed.select(*columns)
+    return LedgerScan(placed.select(*columns), splits)
 
 
 def ledger_lines(spark: SparkSession, paths: str | list[str], ledger: Column | None = None) -> DataFrame:
     """Physical lines with line number, byte offset and raw bytes."""
-    return scan_ledger(spark, paths, with_facts=False, keep_value=True, ledger=ledger)
+    return scan_ledger(spark, paths, with_facts=False, keep_value=True, ledger=ledger).lines
 
 
 def table_facts(lines: DataFrame, width: int = SEGMENT_BYTES) -> DataFrame:
