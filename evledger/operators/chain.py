@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from evledger.functions import canonical as C
 from evledger.operators.envelope import event_body
 from evledger.operators.segments import SEGMENT_ROWS, lag_value, with_segment
-from evledger.session import materialize, scratch_path
+from evledger.session import materialize, scratch_path, task_width
 
 # Rows one task may fold per round.  The fold is sequential by definition (each
 # hash covers the one before), so this bounds task time and lost work; memory
@@ -52,7 +52,7 @@ def _fold(batches):
         yield from out.filter(keep).to_batches()
 
 
-def _fold_round(prepared: DataFrame, heads: DataFrame | None, order: str) -> DataFrame:
+def _fold_round(prepared: DataFrame, heads: DataFrame | None, order: str, width: int) -> DataFrame:
     """One bounded round: seed rows carry each ledger's current head."""
     rows = prepared.withColumn("_seed", F.lit(None).cast("string")).withColumn(
         "_is_seed", F.lit(False)
@@ -71,7 +71,6 @@ def _fold_round(prepared: DataFrame, heads: DataFrame | None, order: str) -> Dat
     )
     # A fixed width: the fold is Python-bound, so AQE must not merge its tasks
     # by bytes.
-    width = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.repartition(width, "ledger_id")
         .sortWithinPartitions("ledger_id", order)
@@ -106,12 +105,14 @@ def chain_build(
     written to the shared folder, so that no task ever holds a whole hot ledger
     and a lost executor costs at most one round.
     """
-    longest = events.groupBy("ledger_id").count().agg(F.max("count")).first()[0] or 0
+    longest, total = events.groupBy("ledger_id").count().agg(F.max("count"), F.sum("count")).first()
+    longest, total = longest or 0, total or 0
+    tasks = task_width(events.sparkSession, total)
     prepared = events.withColumn("_parts", C.chain_parts(event_body()))
     if "previous_hash" not in prepared.columns:
         prepared = prepared.withColumn("previous_hash", F.lit(None).cast("string"))
     if longest <= round_rows:
-        return _fold_round(prepared, heads, order)
+        return _fold_round(prepared, heads, order, tasks)
 
     plan = materialize(_round_plan(events, order, round_rows), "chain-plan")
     width = max(1, min(SEGMENT_ROWS, round_rows))
@@ -127,7 +128,7 @@ def chain_build(
     target = scratch_path(spark, "chain")
     for number in range(rounds + 1):
         part = staged.where(F.col("_round") == number).drop("_round")
-        folded = _fold_round(part, heads, order)
+        folded = _fold_round(part, heads, order, tasks)
         path = f"{target}/round={number}"
         folded.write.parquet(path)
         heads = chain_heads(spark.read.parquet(path), order)
@@ -156,7 +157,7 @@ def write_ledger(events: DataFrame, path: str, order: str = "seq") -> None:
     are spelled after the exchange.  It also cuts a hot ledger into several
     files whose names keep log order.
     """
-    width = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = task_width(events.sparkSession, events.count())
     placed = events.repartitionByRange(width, "ledger_id", order).sortWithinPartitions("ledger_id", order)
     if "value" not in events.columns:
         placed = chain_lines(placed, order)

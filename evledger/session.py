@@ -84,6 +84,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def task_width(spark: SparkSession, rows: int, per_task: int = 50_000) -> int:
+    """Partitions for ``rows`` of Python-bound work.
+
+    At least one per task slot, at most the session's shuffle width, so a
+    small input is not cut into hundreds of empty Python tasks.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    widest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(max(widest, slots), max(slots, -(-rows // per_task))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a plain scan at least one partition per task slot.
 
