@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evledger import schema as S
 from evledger.operators import archive as A
 from evledger.operators import chain as H
 from evledger.operators import policy as P
@@ -12,7 +11,7 @@ from evledger.operators import read as R
 from evledger.operators import segments as G
 from evledger.operators import verify as V
 from evledger.plans import base as B
-from evledger.plans.base import CHAIN, DAMAGED, ENV, GAPPED, LINES, query, table
+from evledger.plans.base import CHAIN, DAMAGED, GAPPED, LINES, query, table
 from evledger.session import materialize, scratch_path
 from evledger.sources import lines as L
 
