@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of ``column``."""
-    sizes = pa.compute.binary_length(batch.column(column).cast(pa.large_binary()))
+    sizes = pc.binary_length(batch.column(column).cast(pa.large_binary()))
     start = held = 0
     for i, size in enumerate(sizes.to_pylist()):
         if held and held + (size or 0) > limit:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evledger.llm import simhash
+from evledger.llm import quality, simhash, token_store
 from evledger.llm.common import table
+from evledger.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +31,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op9_token_store")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from a written store."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.store_digest(table(spark, sf_dir, "documents"), path)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = materialize(quality.measure(docs).drop("text"), "measured")
+    judged = quality.judge(measured).withColumnRenamed("_quality", "q")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *(f"q.{name}" for name in names))
