@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evledger.llm import quality, simhash, token_store
+from evledger.llm import mixing, quality, simhash, token_store
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -48,3 +48,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(measured).withColumnRenamed("_quality", "q")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *(f"q.{name}" for name in names))
+
+
+@query("op6_cube_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    rows = materialize(mixing.sized(table(spark, sf_dir, "documents")), "sized")
+    mixed = mixing.mix(rows)
+    taken = (mixed["copies"] * mixed["size"]).cast("long").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
