@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evledger.llm import mixing, quality, simhash, token_store
+from evledger.llm import decontaminate, mixing, quality, simhash, token_store
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -57,3 +57,36 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(rows)
     taken = (mixed["copies"] * mixed["size"]).cast("long").alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
+@query(
+    "op3_decontamination",
+    """
+    WITH d AS (
+        SELECT doc_id, row_number() OVER () AS r,
+               regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+    ), i AS (
+        SELECT min(item_id) AS item_id, w
+        FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)
+        WHERE len(w) > 0 GROUP BY w
+    ), s AS (
+        SELECT DISTINCT item_id, least(5, len(w)) AS k,
+               unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+                                     lambda j: array_to_string(w[j:j + least(5, len(w)) - 1], ' '))) AS g
+        FROM i
+    ), q AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+    widths AS (SELECT DISTINCT k FROM s),
+    t AS (
+        SELECT DISTINCT r, doc_id,
+               unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g
+        FROM d, widths WHERE len(w) >= k
+    ), m AS (
+        SELECT r, doc_id, s.item_id, count(*) AS n FROM t JOIN s USING (g) GROUP BY r, doc_id, s.item_id
+    )
+    SELECT m.doc_id, m.item_id, m.n AS n_shared, q.n AS n_shingles, m.n / q.n AS containment
+    FROM m JOIN q USING (item_id) WHERE 10 * m.n >= 8 * q.n
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
