@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, mixing, quality, simhash, token_store
+from evledger.llm import decontaminate, language, mixing, quality, simhash, token_store, toxicity
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -90,3 +91,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    found = toxicity.rate(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evledger.llm import rans
-from evledger.llm.common import arrow_map, as_bytes, to_arrow
+from evledger.llm.common import arrow_map, as_bytes, slices, to_arrow
 from evledger.llm.tokens import Encoder
 from evledger.session import broadcast_if_small, materialize, scratch_path, ship_package, task_width
 
@@ -68,8 +68,9 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(value, wide), minlength=size)
+            for part in slices(batch, "ids"):
+                joined = np.frombuffer(b"".join(part.column("ids").to_pylist()), wide)
+                counts += np.bincount(joined, minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 

@@ -11,13 +11,17 @@ import numpy as np
 #: white space.  No pre-token of a byte-level vocabulary crosses such a place, and
 #: none looks behind it, so the pieces encode on their own.
 _PLACE = re.compile(r"(?<=\S)(?=[ \n])")
-_RUNS = re.compile(r"\s[ \n]|\x00")
 
 
 def pieces(text: str) -> list[str]:
     """The text cut where its tokens never join; joined they are the text."""
-    if _RUNS.search(text):
-        return _PLACE.split(text)
+    return _PLACE.split(text)
+
+
+def _quick(text: str) -> list[str]:
+    """As `pieces` if no part but the last ends with white space."""
+    if "\x00" in text:
+        return pieces(text)
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
 
@@ -30,7 +34,7 @@ class Encoder:
     ``remember`` pieces; it starts anew when most of what comes is not in it.
     """
 
-    def __init__(self, path: str, remember: int = 500_000) -> None:
+    def __init__(self, path: str, remember: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,26 +70,41 @@ class Encoder:
                 start = cut
         return found
 
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """What encodes ``wanted``: the memory, or a larger copy where it is full."""
-        new = wanted - self.known.keys()
-        if len(self.known) >= self.remember and 2 * len(new) > len(wanted):
-            self.known, new = {}, wanted
-        joins = [p for p in new if p[:1] in (" ", "\n") and not p[-1].isspace()]
-        found = self._joined(joins) | self._each(list(new.difference(joins)))
+    def _new(self, wanted: set[str]) -> dict[str, bytes]:
+        """Encodes pieces that are not in the memory, and remembers them."""
+        joins = [p for p in wanted if p[:1] in (" ", "\n") and not p[-1].isspace()]
+        found = self._joined(joins)
         if len(self.known) + len(found) <= self.remember:
-            self.known |= found
-            return self.known
-        return found | {p: self.known[p] for p in wanted - found.keys()}
+            self.known.update(found)
+        return found | self._each(list(wanted.difference(found)))
+
+    def parts(self, texts: list[str]) -> list[list[bytes]]:
+        """Ids of the pieces of each text, as bytes of `dtype`."""
+        rows = []
+        open_rows: list[tuple[int, list[str]]] = []
+        wanted: set[str] = set()
+        seen = missed = 0
+        for n, text in enumerate(texts):
+            cut = _quick(text)
+            row = list(map(self.known.get, cut))
+            if None in row:
+                new = [p for p, ids in zip(cut, row) if ids is None]
+                if any(p[-1:].isspace() for p in new):  # only such places may be wrong, and they are never known
+                    cut = pieces(text)
+                    row = list(map(self.known.get, cut))
+                    new = [p for p, ids in zip(cut, row) if ids is None]
+                wanted.update(new)
+                missed += len(new)
+                open_rows.append((n, cut))
+            seen += len(cut)
+            rows.append(row)
+        found = self._new(wanted)
+        for n, cut in open_rows:
+            rows[n] = [found[p] if ids is None else ids for p, ids in zip(cut, rows[n])]
+        if len(self.known) * 10 > self.remember * 9 and 2 * missed > seen:
+            self.known = {}
+        return rows
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of `dtype`."""
-        cut = [pieces(text) for text in texts]
-        known = self._learn({p for parts in cut for p in parts})
-        return [b"".join([known[p] for p in parts]) for parts in cut]
-
-    def counts(self, parts: list[str]) -> list[int]:
-        """Number of ids of each piece of `pieces`."""
-        known = self._learn(set(parts))
-        wide = self.dtype.itemsize
-        return [len(known[p]) // wide for p in parts]
+        return [b"".join(row) for row in self.parts(texts)]
