@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, language, mixing, quality, simhash, token_store, toxicity
+from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_store, toxicity
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -111,3 +111,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.rate(docs, model)
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+@query("op2_html_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
