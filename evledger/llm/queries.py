@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_store, toxicity
+from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_store, toxicity, url_filter
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -117,3 +117,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: Rules of the query: verdict and pattern.
+URL_RULES = [
+    url_filter.Rule("block", "net/"),
+    url_filter.Rule("allow", "example.net/en/"),
+    url_filter.Rule("block", "example.com/de/"),
+    url_filter.Rule("allow", "org/fr/"),
+]
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    found = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
