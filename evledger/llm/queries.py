@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_store, toxicity, url_filter
+from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_counts, token_store, toxicity, url_filter
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -133,3 +133,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     found = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after private data are scrubbed."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    held = token_counts.states(table(spark, sf_dir, "documents"), path)
+    edited = token_counts.apply_edits(held, path, token_counts.scrub)
+    return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded")

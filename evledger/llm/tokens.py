@@ -78,9 +78,10 @@ class Encoder:
             self.known.update(found)
         return found | self._each(list(wanted.difference(found)))
 
-    def parts(self, texts: list[str]) -> list[list[bytes]]:
-        """Ids of the pieces of each text, as bytes of `dtype`."""
-        rows = []
+    def parts(self, texts: list[str], with_cuts: bool = False):
+        """Ids of the pieces of each text, as bytes of `dtype`; with the pieces if asked."""
+        rows: list[list[bytes]] = []
+        cuts: list[list[str]] = []
         open_rows: list[tuple[int, list[str]]] = []
         wanted: set[str] = set()
         seen = missed = 0
@@ -98,12 +99,14 @@ class Encoder:
                 open_rows.append((n, cut))
             seen += len(cut)
             rows.append(row)
+            if with_cuts:
+                cuts.append(cut)
         found = self._new(wanted)
         for n, cut in open_rows:
             rows[n] = [found[p] if ids is None else ids for p, ids in zip(cut, rows[n])]
         if len(self.known) * 10 > self.remember * 9 and 2 * missed > seen:
             self.known = {}
-        return rows
+        return (rows, cuts) if with_cuts else rows
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of `dtype`."""
