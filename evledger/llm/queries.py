@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, html_text, language, mixing, quality, simhash, token_counts, token_store, toxicity, url_filter
+from evledger.llm import decontaminate, html_text, language, mixing, quality, quality_sql, simhash, token_counts, token_store, toxicity, url_filter
 from evledger.llm.common import table
 from evledger.session import materialize
 
@@ -41,7 +41,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(table(spark, sf_dir, "documents"), path)
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", quality_sql.oracle())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
