@@ -109,11 +109,12 @@ def _posted(members: DataFrame, width: int) -> DataFrame:
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what the pairs within ``bits`` of a bucket connect."""
     left = np.arange(len(fps))
+    words = fps.view(np.uint64)  # bits of signed numbers would be counted in their absolute value
     links: list[tuple[int, int]] = []
     while len(left):  # breadth first over the members that are not reached yet
         front, left = left[:1], left[1:]
         while len(front) and len(left):
-            apart = np.bitwise_count(fps[front[:, None]] ^ fps[left[None, :]])
+            apart = np.bitwise_count(words[front[:, None]] ^ words[left[None, :]])
             near = apart <= bits
             reached = near.any(axis=0)
             by = front[near.argmax(axis=0)]
