@@ -204,11 +204,7 @@ def remix(docs: DataFrame) -> DataFrame:
         row += "_"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     taken = mix(materialize(sized(numbered, F.col(row)), "sized")).filter("copies > 0")
-    taken = taken.select(F.col("row").alias("_taken"), "copies")
-    repeated = numbered.join(taken, numbered[row] == F.col("_taken"))
-    clash = "_nth"
-    while clash in names:
-        clash += "_"
-    return repeated.withColumn(clash, F.explode(F.sequence(F.lit(1), repeated["copies"]))).select(
-        *(numbered[c] for c in names)
-    )
+    times = F.sequence(F.lit(1), F.col("copies"))
+    taken = taken.select(F.col("row").alias(f"{row}_taken"), times.alias(f"{row}_times"))
+    repeated = numbered.join(taken, numbered[row] == F.col(f"{row}_taken"))
+    return repeated.withColumn(f"{row}_nth", F.explode(f"{row}_times")).select(*(numbered[c] for c in names))
