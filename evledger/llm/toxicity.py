@@ -30,7 +30,7 @@ BUCKETS = 1 << 17
 DIM = 12
 GRAM_LENGTHS = (3, 4, 5, 6)
 WINDOW = 5
-ROUNDS = 12
+ROUNDS = 24
 _LETTERS = regex.compile(r"\p{L}+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -139,10 +139,10 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = ROUNDS) -> Model:
             elif label:
                 take = np.argsort(-odds, kind="stable")[:1]
             else:
-                take = np.concatenate([np.argsort(-odds, kind="stable")[:3], rng.integers(0, len(odds), 3)])
+                take = np.concatenate([np.argsort(-odds, kind="stable")[:4], rng.integers(0, len(odds), 2)])
             chosen += [own[k * WINDOW : (k + 1) * WINDOW] for k in take.tolist()]
             marks += [label] * len(take)
-        _steps(model, chosen, np.array(marks), bucket, starts, memory, rng)
+        _steps(model, chosen, np.array(marks), bucket, starts, memory, rng, 0.3 * (1 - turn / rounds))
     flat = model.embed @ (model.out[:, 1] - model.out[:, 0])
     scores = np.add.reduceat(flat[bucket], starts[:-1]) / np.diff(starts)
     worst = np.array([w.max() for w in model.windows(ids, scores)])
@@ -154,7 +154,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = ROUNDS) -> Model:
 
 def _steps(
     model: Model, windows: list[np.ndarray], y: np.ndarray, bucket: np.ndarray, starts: np.ndarray,
-    memory: list[np.ndarray], rng: np.random.Generator, rate: float = 0.3, batch: int = 512,
+    memory: list[np.ndarray], rng: np.random.Generator, rate: float, batch: int = 256,
 ) -> None:
     """Gradient steps on windows; rates follow the squared gradients so far."""
     order = rng.permutation(len(windows))
@@ -188,18 +188,26 @@ def _steps(
 
 
 def _calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of labels on log odds, lightly damped."""
-    a, b = 1.0, 0.0
+    """Logistic fit of labels on log odds by damped Newton steps."""
+    x = np.stack([np.clip(odds, -20, 20), np.ones(len(odds))], axis=1)
+    pull = np.diag([0.1, 0.01])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (v - start) @ pull @ (v - start) / 2)
+
+    start = at = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * odds + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * odds).sum() + 0.01 * (a - 1), (p - y).sum()])
-        h = np.array([[(w * odds**2).sum() + 0.01, (w * odds).sum()], [(w * odds).sum(), w.sum()]])
-        step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        slope = x.T @ (p - y) + pull @ (at - start)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pull, slope)
+        size = 1.0
+        while size > 1e-4 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if abs(step).max() * size < 1e-6:
             break
-    return float(np.clip(a, 0.05, 20)), float(b)
+    return float(max(at[0], 0.05)), float(at[1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE) -> DataFrame:
