@@ -26,7 +26,7 @@ from evledger.session import broadcast_if_small, materialize, ship_package
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BLOCK = 20_000
+BLOCK = 4_000
 EPS = 1e-9
 #: Documents that wait for the landing, beside the two that the flight leaves.
 WAITING = 14
@@ -197,14 +197,18 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 
 def remix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Repeated rows (same id, source and text) are decided together.
+    """
     names = docs.columns
-    row = "_row"
-    while row in names:
-        row += "_"
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    taken = mix(materialize(sized(numbered, F.col(row)), "sized")).filter("copies > 0")
+    mark = "_mix"
+    while any(c.startswith(mark) for c in names):
+        mark += "_"
+    key = F.xxhash64("doc_id", "source", "text")
+    rows = sized(docs, key).groupBy("row", "source", "key").agg(F.min("doc_id").alias("doc_id"), F.sum("size").alias("size"))
+    taken = materialize(mix(materialize(rows, "sized")).filter("copies > 0"), "taken")
     times = F.sequence(F.lit(1), F.col("copies"))
-    taken = taken.select(F.col("row").alias(f"{row}_taken"), times.alias(f"{row}_times"))
-    repeated = numbered.join(taken, numbered[row] == F.col(f"{row}_taken"))
-    return repeated.withColumn(f"{row}_nth", F.explode(f"{row}_times")).select(*(numbered[c] for c in names))
+    taken = broadcast_if_small(taken.select(F.col("row").alias(f"{mark}row"), times.alias(f"{mark}times")))
+    repeated = docs.join(taken, key == F.col(f"{mark}row"))
+    return repeated.withColumn(f"{mark}nth", F.explode(f"{mark}times")).select(*(docs[c] for c in names))

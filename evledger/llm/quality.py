@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evledger.session import materialize
+from evledger.session import broadcast_if_small, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -203,7 +203,8 @@ def judge(measured: DataFrame, q: str = "_quality") -> DataFrame:
     languages and sources form groups of their own.  A group where every row fails the
     base rules has no fences and needs none.
     """
-    limits = thresholds(sketches(measured, q))
+    # One row for each language and source: written once, so its size is known and texts do not shuffle.
+    limits = broadcast_if_small(materialize(thresholds(sketches(measured, q)), "thresholds"))
     columns = [c for c in measured.columns if c != q]
     both = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     values = _measures(q)

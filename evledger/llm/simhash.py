@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root"))
     per_id = materialize(chosen.groupBy("_id").agg(F.count("*").alias("copies")), "kept")
-    single = per_id.filter("copies = 1 AND _id IS NOT NULL").select("_id")
+    single = broadcast_if_small(per_id.filter("copies = 1 AND _id IS NOT NULL").select("_id"))
     alone = docs.join(single, docs["doc_id"] == F.col("_id"), "left_semi")
     several = per_id.filter("copies > 1 OR _id IS NULL")
     if several.isEmpty():
