@@ -60,39 +60,54 @@ class Table:
         self.precision = int(freq.sum(dtype=np.int64)).bit_length() - 1
         self.freq = freq.astype(np.uint64)
         self.start = np.cumsum(self.freq) - self.freq
+        self._both: np.ndarray | None = None
         self._slots: np.ndarray | None = None
 
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            self._slots = np.repeat(np.arange(len(self.freq)), self.freq.astype(np.int64))
         return self._slots
 
+    @property
+    def slot_facts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequency of each slot's id, and the slot's place among that id's."""
+        if self._both is None:
+            ids = self.slots
+            within = np.arange(len(ids), dtype=np.uint64) - self.start[ids]
+            self._both = np.stack([self.freq[ids], within])
+        return self._both[0], self._both[1]
+
 
 def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, stride: int = STRIDE) -> bytes:
     """One block of ``ids``; every id needs a frequency in ``table``."""
     rows = -(-len(ids) // lanes)
-    filler = np.uint32(np.argmax(table.freq))
-    dealt = np.full(rows * lanes, filler, np.uint32)
+    if len(ids) and not table.freq[ids].all():
+        raise ValueError("an id has no frequency in the shared table")
+    dealt = np.full(rows * lanes, np.argmax(table.freq), np.intp)
     dealt[: len(ids)] = ids
     dealt = dealt.reshape(rows, lanes)
     bits = np.uint64(table.precision)
     room = np.uint64(63 - table.precision)
+    total = np.uint64(1) << bits
     state = np.full(lanes, LOW, np.uint64)
+    freq, start, high = np.empty(lanes, np.uint64), np.empty(lanes, np.uint64), np.empty(lanes, np.uint64)
     chunks: list[np.ndarray] = []
     written = 0
     states, marks = [], []
     for t in range(rows - 1, -1, -1):
-        freq = table.freq[dealt[t]]
-        if not freq.all():
-            raise ValueError("an id has no frequency in the shared table")
-        full = state >= freq << room
-        if full.any():
-            chunks.append(state[full].astype(np.uint32))
-            written += len(chunks[-1])
-            state[full] >>= WORD
-        high = state // freq
-        state = (high << bits) + (state - high * freq) + table.start[dealt[t]]
+        np.take(table.freq, dealt[t], out=freq, mode="clip")
+        np.take(table.start, dealt[t], out=start, mode="clip")
+        full = np.flatnonzero(state >> room >= freq)
+        if len(full):
+            moved = state[full]
+            chunks.append(moved.astype(np.uint32))
+            written += len(full)
+            state[full] = moved >> WORD
+        np.floor_divide(state, freq, out=high)
+        # high * 2**bits + the remainder + start
+        state += start
+        state += high * (total - freq)
         if t % stride == 0:
             states.append(state.copy())
             marks.append(written)
@@ -146,15 +161,21 @@ def decode_block(block: bytes, table: Table, first: int = 0, last: int | None =
 def _decode_span(state: np.ndarray, words: np.ndarray, rows: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
     bits = np.uint64(table.precision)
     mask = np.uint64((1 << table.precision) - 1)
-    out = np.empty((rows, len(state)), np.uint32)
+    freqs, withins = table.slot_facts
+    slots = np.empty((rows, len(state)), np.uint32)
+    freq, within = np.empty(len(state), np.uint64), np.empty(len(state), np.uint64)
     at = 0
     for t in range(rows):
         slot = state & mask
-        ids = table.slots[slot]
-        out[t] = ids
-        state = table.freq[ids] * (state >> bits) + slot - table.start[ids]
+        slots[t] = slot
+        slot = slot.view(np.intp)
+        np.take(freqs, slot, out=freq, mode="clip")
+        np.take(withins, slot, out=within, mode="clip")
+        state >>= bits
+        state *= freq
+        state += within
         low = np.flatnonzero(state < LOW)
         if len(low):
             state[low] = (state[low] << WORD) | words[at : at + len(low)]
             at += len(low)
-    return out.ravel(), state
+    return table.slots[slots.ravel()].astype(np.uint32), state

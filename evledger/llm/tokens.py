@@ -25,6 +25,17 @@ def _quick(text: str) -> list[str]:
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
 
+def _gaps(row: list[bytes | None]) -> list[int]:
+    """Places of None."""
+    places, at = [], -1
+    try:
+        while True:
+            at = row.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 class Encoder:
     """Encodes with a byte-level ``tokenizers`` file and remembers pieces.
 
@@ -82,28 +93,32 @@ class Encoder:
         """Ids of the pieces of each text, as bytes of `dtype`; with the pieces if asked."""
         rows: list[list[bytes]] = []
         cuts: list[list[str]] = []
-        open_rows: list[tuple[int, list[str]]] = []
+        open_rows: list[tuple[int, list[str], list[int]]] = []
         wanted: set[str] = set()
         seen = missed = 0
         for n, text in enumerate(texts):
             cut = _quick(text)
             row = list(map(self.known.get, cut))
             if None in row:
-                new = [p for p, ids in zip(cut, row) if ids is None]
+                places = _gaps(row)
+                new = [cut[i] for i in places]
                 if any(p[-1:].isspace() for p in new):  # only such places may be wrong, and they are never known
                     cut = pieces(text)
                     row = list(map(self.known.get, cut))
-                    new = [p for p, ids in zip(cut, row) if ids is None]
+                    places = _gaps(row)
+                    new = [cut[i] for i in places]
                 wanted.update(new)
                 missed += len(new)
-                open_rows.append((n, cut))
+                open_rows.append((n, cut, places))
             seen += len(cut)
             rows.append(row)
             if with_cuts:
                 cuts.append(cut)
         found = self._new(wanted)
-        for n, cut in open_rows:
-            rows[n] = [found[p] if ids is None else ids for p, ids in zip(cut, rows[n])]
+        for n, cut, places in open_rows:
+            row = rows[n]
+            for i in places:
+                row[i] = found[cut[i]]
         if len(self.known) * 10 > self.remember * 9 and 2 * missed > seen:
             self.known = {}
         return (rows, cuts) if with_cuts else rows
