@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The default secret shapes and what replaces them.
@@ -19,8 +20,15 @@ CUSTOM_REPLACEMENT = "[REDACTED]"
 
 
 def check_patterns(patterns: Sequence[str]) -> tuple[str, ...]:
+    """Patterns that both engines read: columns are matched in the JVM, payloads in Python."""
+    session = SparkSession.getActiveSession()  # none in Python workers, where patterns arrive checked
     for pattern in patterns:
         re.compile(pattern)
+        if session is not None:
+            try:
+                session.sparkContext._jvm.java.util.regex.Pattern.compile(_java_pattern(pattern))
+            except Py4JJavaError as fault:
+                raise ValueError(f"the pattern is not one for columns too: {pattern}") from fault
     return tuple(patterns)
 
 

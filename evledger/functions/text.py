@@ -89,13 +89,18 @@ def parse_utc(text: Column) -> Column:
 
 
 def event_id(*parts: Column) -> Column:
-    """Deterministic id from the source position, so a replay mints the same id."""
+    """Deterministic id from the source position, so a replay mints the same id.
+
+    The parts must tell apart all events of a source: a file that was cut and
+    written anew needs its generation, a line split in pieces the piece's number.
+    """
     seed = F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit("evt_"), F.left(F.sha2(seed, 256), F.lit(32)))
 
 
-def random_event_id() -> Column:
-    return F.concat(F.lit("evt_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+def position_parts(columns: list[str]) -> list[Column]:
+    """Path and offset of a line, with generation and part where the reader gives them."""
+    return [F.col(c) for c in ("path", "byte_offset", "generation", "part") if c in columns]
 
 
 def parse_key_values(pairs: Column) -> Column:

@@ -208,6 +208,8 @@ def transition_events(
 ) -> DataFrame:
     """First event of each new ledger, pinning the archive it follows."""
     rows = manifest_rows.withColumn("m", F.from_json("manifest", _MANIFEST))
+    # The manifests lie beside the reports, in the archive's own folder.
+    manifest_path = F.concat(F.regexp_replace("m.verification.path", r"/[^/]+\z", ""), F.lit("/manifests"))
     payload = F.to_json(
         F.struct(
             F.lit(S.schema_id(S.LEDGER_TRANSITION, namespace)).alias("schema_version"),
@@ -219,9 +221,7 @@ def transition_events(
                 F.col("m.archive.sha256").alias("sha256"),
                 F.col("m.archive.byte_size").alias("byte_size"),
             ).alias("archive_ledger_ref"),
-            F.struct(
-                F.col("m.verification.path").alias("path"), F.col("manifest_sha256").alias("sha256")
-            ).alias("archive_manifest_ref"),
+            F.struct(manifest_path.alias("path"), F.col("manifest_sha256").alias("sha256")).alias("archive_manifest_ref"),
             F.col("m.breakpoints.count").alias("breakpoint_count"),
         ),
         {"ignoreNullFields": "false"},
@@ -438,6 +438,12 @@ def require_intact(checks: DataFrame) -> None:
         raise SealedArchiveError(f"sealed archive check failed for {bad['ledger_id']}: {bad['check']}")
 
 
+def refused_ledgers(checks: DataFrame) -> DataFrame:
+    """Ledgers with a broken pin and the names of their failed checks."""
+    broken = checks.where(~F.coalesce("ok", F.lit(False)))
+    return broken.groupBy("ledger_id").agg(F.array_sort(F.collect_set("check")).alias("failed_checks"))
+
+
 def archive_batches(
     spark: SparkSession,
     archive: str,
@@ -447,9 +453,15 @@ def archive_batches(
     namespace: str = S.NAMESPACE,
     **options,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cursor reads of every sealed ledger, after all pins of the archive hold."""
-    require_intact(archive_context(spark, archive, namespace))
+    """Cursor reads of every sealed ledger whose pins hold.
+
+    A damaged ledger is left out and does not keep the others from being read;
+    `refused_ledgers` of `archive_context` names it.
+    """
+    refused = materialize(refused_ledgers(archive_context(spark, archive, namespace)), "refused")
     lines = archive_lines(spark, archive)
+    if not refused.isEmpty():
+        lines = lines.join(broadcast_if_small(refused.select("ledger_id")), "ledger_id", "left_anti")
     return R.read_batches(
         lines,
         R.zero_cursors(lines) if cursors is None else cursors,
@@ -548,8 +560,15 @@ def registry_pin_match(manifest_rows: DataFrame, registry: DataFrame | None) ->
 def verify_archive(
     spark: SparkSession, archive: str, registry: DataFrame | None = None, namespace: str = S.NAMESPACE
 ) -> DataFrame:
-    """Status row per sealed ledger: verified again and compared with its pins."""
-    require_intact(archive_context(spark, archive, namespace))
+    """Status row per sealed ledger: verified again and compared with its pins.
+
+    Each ledger is judged on its own; a broken pin makes its row invalid.
+    """
+    sound = F.coalesce("ok", F.lit(False))
+    pins = archive_context(spark, archive, namespace).groupBy("ledger_id").agg(
+        F.bool_and(sound).alias("intact"),
+        F.bool_and(F.when(F.col("check") == "archive_digest", sound)).alias("digest_ok"),
+    )
     rows = load_manifests(spark, archive)
     facts = materialize(table_facts(archive_lines(spark, archive)), "archive-facts")
     errors = materialize(V.verify_errors(facts, namespace), "archive-errors")
@@ -563,6 +582,7 @@ def verify_archive(
         rows.join(counts, "ledger_id", "left")
         .join(breakpoint_set_equal(V.verify_breakpoints(errors), recorded), "ledger_id", "left")
         .join(registry_pin_match(rows, registry), "ledger_id", "left")
+        .join(pins, "ledger_id", "left")
     )
     fatal = F.coalesce("fatal", zero)
     match = F.coalesce("breakpoints_match", F.lit(True))
@@ -570,12 +590,13 @@ def verify_archive(
         "ledger_id",
         "archive_id",
         "manifest_sha256",
-        # require_intact has already compared the digest
-        F.lit(True).alias("ledger_sha256_matches_manifest"),
+        F.coalesce("digest_ok", F.lit(False)).alias("ledger_sha256_matches_manifest"),
         F.col("registry_match").alias("manifest_sha256_matches_registry"),
         F.lit(None).cast("boolean").alias("state_sidecar_matches_manifest"),
         match.alias("recorded_breakpoints_match"),
         fatal.alias("fatal_error_count"),
         F.coalesce("accepted", zero).alias("accepted_breakpoint_count"),
-        ((fatal == 0) & match & F.coalesce("registry_match", F.lit(True))).alias("valid"),
+        (
+            F.coalesce("intact", F.lit(False)) & (fatal == 0) & match & F.coalesce("registry_match", F.lit(True))
+        ).alias("valid"),
     )

@@ -14,6 +14,7 @@ from evledger.functions import text as X
 from evledger.functions.canonical import open_json_policy
 
 ARTIFACT_MODES = ("references_only", "drop", "preserve")
+_MODES_SAID = "artifacts are handled in one of the modes " + ", ".join(ARTIFACT_MODES) + "; got {!r}"
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class CapturePolicy:
     def __post_init__(self) -> None:
         R.check_patterns(self.custom_patterns)
         if self.artifact_mode not in ARTIFACT_MODES:
-            raise ValueError(f"Unsupported artifact policy mode: {self.artifact_mode}")
+            raise ValueError(_MODES_SAID.format(self.artifact_mode))
 
 
 def policy_reason(policy: CapturePolicy) -> Column:
@@ -168,7 +169,7 @@ def artifact_policy(
 ) -> Column:
     """Artifact policy on a typed ``array<struct>`` column."""
     if mode not in ARTIFACT_MODES:
-        raise ValueError(f"Unsupported artifact policy mode: {mode}")
+        raise ValueError(_MODES_SAID.format(mode))
     if mode == "drop":
         return F.filter(artifacts, lambda _: F.lit(False))
     return F.transform(

@@ -135,15 +135,19 @@ def summarize(spark, d):
 
 @query(
     "optional_text",
-    f"""SELECT doc_id, nullif(regexp_replace(regexp_replace(left(text, (doc_id % 9)::INT), '^{_WS}+', ''), '{_WS}+$', ''), '')
+    f"""SELECT doc_id, nullif(regexp_replace(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN repeat(' ', (doc_id % 5)::INT)
+      ELSE repeat(chr(10), (doc_id % 4)::INT) || text || repeat(' ', (doc_id % 3)::INT) END, '^{_WS}+', ''), '{_WS}+$', ''), '')
     AS value FROM documents""",
 )
 def optional_text(spark, d):
-    head = F.left(F.col("text"), (F.col("doc_id") % 9).cast("int"))
-    return table(spark, d, "documents").select("doc_id", X.optional_text(head).alias("value"))
+    """Whole texts with blanks around them, and texts of blanks only."""
+    some = lambda mark, n: F.repeat(F.lit(mark), (F.col("doc_id") % n).cast("int"))
+    padded = F.concat(some("\n", 4), "text", some(" ", 3))
+    value = F.when(F.col("doc_id") % 9 == 0, some(" ", 5)).otherwise(padded)
+    return table(spark, d, "documents").select("doc_id", X.optional_text(value).alias("value"))
 
 
-_NAME = "CASE WHEN doc_id % 2 = 0 THEN source || ':' || lang || '-' || doc_id ELSE left(text, 24) END"
+_NAME = "CASE WHEN doc_id % 2 = 0 THEN source || ':' || lang || '-' || doc_id ELSE text END"
 
 
 @query(
@@ -156,7 +160,7 @@ _NAME = "CASE WHEN doc_id % 2 = 0 THEN source || ':' || lang || '-' || doc_id EL
 )
 def safe_identifier(spark, d):
     even = F.concat_ws("", "source", F.lit(":"), "lang", F.lit("-"), F.col("doc_id").cast("string"))
-    name = F.when(F.col("doc_id") % 2 == 0, even).otherwise(F.left("text", F.lit(24)))
+    name = F.when(F.col("doc_id") % 2 == 0, even).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", X.safe_identifier(name).alias("safe"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evledger import positions
 from evledger.operators import archive as A
 from evledger.operators import chain as H
 from evledger.operators import policy as P
@@ -423,7 +424,8 @@ def cursor_state(spark, d):
     _, envelopes, _ = R.read_batches(lines, R.zero_cursors(lines), max_bytes=70_000, width=BYTES)
     path = scratch_path(spark, "cursor-state")
     save_cursors(envelopes, path)
-    return spark.read.parquet(path).drop("cursor_ledger_id")
+    saved, _ = positions.load(spark, path)
+    return saved.drop("cursor_ledger_id")
 
 
 @query(
@@ -612,7 +614,7 @@ def verify_report_write(spark, d):
 @query(
     "transition_event",
     f"""{_TREE}, {_COUNTS} SELECT ledger_id, {_ARCHIVE_ID} AS archive_id, 'ledger_transition' AS event_type,
-      'sealed_archive' AS transition, sha256, byte_size, breakpoint_count, true AS starts_chain, true AS hash_ok
+      'sealed_archive' AS transition, sha256, byte_size, breakpoint_count, true AS starts_chain, true AS hash_ok, true AS manifest_ref_ok
     FROM counts JOIN digests USING (ledger_id)""",
 )
 def transition_event(spark, d):
@@ -623,9 +625,14 @@ def transition_event(spark, d):
     p = F.from_json(
         "payload",
         "transition string, archive_id string, breakpoint_count bigint,"
-        " archive_ledger_ref struct<ledger_id: string, sha256: string, byte_size: bigint>",
+        " archive_ledger_ref struct<ledger_id: string, sha256: string, byte_size: bigint>,"
+        " archive_manifest_ref struct<path: string, sha256: string>",
     )
-    return events.withColumn("p", p).select(
+    pinned = F.broadcast(rows.select(F.col("ledger_id").alias("_of"), F.col("manifest_sha256").alias("_pin")))
+    ref = F.col("p.archive_manifest_ref")
+    joined = events.withColumn("p", p).join(pinned, F.col("p.archive_ledger_ref.ledger_id") == F.col("_of"))
+    return joined.select(
+        (ref["path"].endswith("/manifests") & (ref["sha256"] == F.col("_pin"))).alias("manifest_ref_ok"),
         F.col("p.archive_ledger_ref.ledger_id").alias("ledger_id"),
         F.col("p.archive_id").alias("archive_id"),
         "event_type",
@@ -689,13 +696,35 @@ def breakpoint_set_equal(spark, d):
     return A.breakpoint_set_equal(altered, breaks)
 
 
+#: Ledgers whose sealed text `damaged_archive` leaves alone.
+_SOUND = "(right(ledger_id, 2)::INT % 5 <> 3)"
+
+
+def damaged_archive(spark, d):
+    """An archive of its own; after the seal the second line of every fifth ledger changed."""
+
+    def make():
+        path = scratch_path(spark, "archive-damaged")
+        A.seal(B.gapped_table(spark, d), path, sealed_at=B.SEALED_AT, active="/ledgers/active")
+        hit = (F.right("ledger_id", F.lit(2)).cast("int") % 5 == 3) & (F.col("line") == 2)
+        other = F.replace(F.col("value").cast("string"), F.lit("/work/"), F.lit("/Work/")).cast("binary")
+        lines = A.archive_lines(spark, path).withColumn("value", F.when(hit, other).otherwise(F.col("value")))
+        lines = materialize(lines, "damaged-lines")
+        lines.write.mode("overwrite").partitionBy("ledger_id").parquet(f"{path}/lines")
+        return path
+
+    return B.shared(spark, d, "archive-damaged", make)
+
+
 @query(
     "verify_archive",
-    f"""{_TREE}, {_COUNTS} SELECT ledger_id, {_ARCHIVE_ID} AS archive_id, true AS ledger_sha256_matches_manifest,
-      true AS manifest_sha256_matches_registry, true AS recorded_breakpoints_match, 0::BIGINT AS fatal_error_count,
-      breakpoint_count AS accepted_breakpoint_count, true AS valid FROM counts""",
+    f"""{_TREE}, {_COUNTS} SELECT ledger_id, {_ARCHIVE_ID} AS archive_id, {_SOUND} AS ledger_sha256_matches_manifest,
+      true AS manifest_sha256_matches_registry, true AS recorded_breakpoints_match,
+      CASE WHEN {_SOUND} THEN 0 ELSE 1 END::BIGINT AS fatal_error_count,
+      breakpoint_count AS accepted_breakpoint_count, {_SOUND} AS valid FROM counts""",
 )
 def verify_archive(spark, d):
-    path = B.sealed_archive(spark, d)
+    """Every fifth ledger was changed after sealing; the others still verify."""
+    path = damaged_archive(spark, d)
     registry = A.registry_entries(A.load_manifests(spark, path), path)
     return A.verify_archive(spark, path, registry).drop("manifest_sha256", "state_sidecar_matches_manifest")

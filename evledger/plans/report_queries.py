@@ -254,22 +254,27 @@ def clip_change_stream(spark, d):
 
 @query(
     "tail_stream",
-    f"SELECT event_type, project, count(*) AS n, sum(length(raw_text))::BIGINT AS chars FROM ({Q._CLAUDE}) GROUP BY event_type, project",
+    f"SELECT event_type, project, count(*) AS n, sum(length(raw_text))::BIGINT AS chars, count(*) AS ids FROM ({Q._CLAUDE}) GROUP BY event_type, project",
 )
 def tail_stream(spark, d):
     """Transcript segments as they land, parsed in the stream; bad lines drop out."""
     source = scratch_path(spark, "segments")
-    lines = Q.claude_lines(spark, d).select("text")
-    lines.unionByName(lines.select(F.left("text", F.lit(20)).alias("text"))).write.text(source)
+    lines = Q.claude_lines(spark, d).select(F.xxhash64("path", "byte_offset").alias("byte_offset"), "text")
+    broken = lines.select((-F.col("byte_offset") - 1).alias("byte_offset"), F.left("text", F.lit(20)).alias("text"))
+    # Segment lines carry their place, as a shipper that cuts logs writes it.
+    marked = lines.unionByName(broken).select(F.concat_ws("\t", F.col("byte_offset").cast("string"), "text").alias("value"))
+    marked.write.text(source)
     rows = V.text_stream(spark, source).select(
-        "path", F.xxhash64("value").alias("byte_offset"), F.col("value").alias("text")
+        "path",
+        F.substring_index("value", "\t", 1).cast("long").alias("byte_offset"),
+        F.expr("substr(value, instr(value, '\t') + 1)").alias("text"),
     )
     turns = A.claude_code_turns(rows, include_sidechain=True, max_chars=Q.MAX, ts=Q.AT)
     out = scratch_path(spark, "turns")
     writer = turns.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "turns-cp"))
     V.single_pass(writer.trigger(availableNow=True).start(out))
     return spark.read.parquet(out).groupBy("event_type", "project").agg(
-        F.count("*").alias("n"), F.sum(F.length("raw_text")).alias("chars")
+        F.count("*").alias("n"), F.sum(F.length("raw_text")).alias("chars"), F.countDistinct("event_id").alias("ids")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from evledger.operators.envelope import union_sources
@@ -12,6 +14,8 @@ from evledger.sources import capture as C
 from evledger.sources import files as T
 from evledger.sources import tail as L
 from evledger.sources import transcripts as A
+from evledger.streaming import incremental as I
+from evledger.streaming.live import read_ledger
 
 MAX = 500
 AT = "2024-01-01T00:00:00Z"
@@ -723,6 +727,47 @@ def tail_new_lines(spark, d):
     return joined.select(folder, doc, F.col("text").alias("line"))
 
 
+@query(
+    "capture_incremental",
+    """SELECT 'agent_' || role || '_turn' AS event_type, 'conv_' || conv_id AS project, 's' || conv_id AS session_id,
+      left(text, 6000) AS raw_text, 1 AS ids FROM conversations
+    WHERE role IN ('user', 'assistant') AND regexp_matches(text, '[^\\s]')""",
+)
+def capture_incremental(spark, d):
+    """Session files taken in several polls of a few kilobytes into one chained ledger.
+
+    Each conversation follows its session header; most polls start between a header
+    and its messages.  ``ids`` counts events of an id.
+    """
+    rows = table(spark, d, "conversations")
+    cwd = F.concat(F.lit("/work/conv_"), F.col("conv_id").cast("string")).alias("cwd")
+    session = F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("id")
+    header = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(cwd, session).alias("payload")))
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("other")
+    message = F.struct(kind.alias("type"), F.col("text").alias("message"))
+    turn = F.to_json(F.struct(F.lit("event_msg").alias("type"), message.alias("payload")))
+    folder = (F.col("conv_id") % 16).alias("folder")
+    lines = rows.select(folder, "conv_id", "turn", turn.alias("line")).unionByName(
+        rows.select(folder, "conv_id", F.lit(-1).cast("long").alias("turn"), header.alias("line")).distinct()
+    )
+    root = scratch_path(spark, "sessions")
+    parted = lines.repartition(16, "folder").sortWithinPartitions("folder", "conv_id", "turn")
+    parted.select("folder", "line").write.partitionBy("folder").text(root)
+    size = lines.groupBy("folder").agg(F.sum(F.octet_length("line") + 1).alias("n")).agg(F.max("n")).first()[0]
+    longest = lines.agg(F.max(F.octet_length("line") + 1)).first()[0]
+    spec = replace(I.codex(root), layout=".*", glob="part-*")
+    state, ledger = scratch_path(spark, "capture-state"), scratch_path(spark, "capture-ledger")
+    while not I.capture_once(
+        spark, [spec], state, ledger, backfill=True, max_bytes=max(longest, size // 2 + 1)
+    ).isEmpty():
+        pass
+    events = read_ledger(spark, ledger)
+    counts = events.groupBy(F.col("event_id").alias("_id")).agg(F.count("*").cast("int").alias("ids"))
+    return events.join(counts, F.col("event_id") == F.col("_id")).select(
+        "event_type", "project", F.get_json_object("payload", "$.session_id").alias("session_id"), "raw_text", "ids"
+    )
+
+
 @query(
     "source_state_save",
     f"""WITH {_TAIL} SELECT folder, max(fin) AS "offset" FROM pos WHERE fin <= 2000 GROUP BY folder""",
@@ -735,7 +780,7 @@ def source_state_save(spark, d):
     _, moved = L.tail_new_lines(lines, starts, 1500)
     path = scratch_path(spark, "state")
     L.save_source_state(moved.withColumn("tailer", F.lit("lines")), path)
-    return spark.read.parquet(path).select(F.regexp_extract("path", r"folder=([^/]+)/", 1).alias("folder"), "offset")
+    return L.load_source_state(spark, path)[0].select(F.regexp_extract("path", r"folder=([^/]+)/", 1).alias("folder"), "offset")
 
 
 @query(

@@ -8,9 +8,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+MOST_TASKS = 100_000
 _LOCAL_SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -18,7 +20,7 @@ _SHIPPED: set[str] = set()
 def build_session(app: str = "evledger", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
 
-    Shuffle width is left to AQE: start wide and let it coalesce.
+    Adaptive execution coalesces and splits what the shuffle width leaves uneven.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -74,25 +76,39 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting; otherwise Spark shuffles the join.
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: texts as they are, nested values as JSON, others eight."""
+    total = F.lit(0)
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
 
-    ``df`` must be cheap to count (a materialized or aggregated table): the
-    count reads at most ``max_rows + 1`` rows.
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint only after measuring; otherwise Spark shuffles the join.
+
+    ``df`` must be cheap to read (a materialized or aggregated table): rows and
+    bytes are taken from at most ``max_rows + 1`` rows.
     """
-    rows = df.limit(max_rows + 1).select(F.lit(1).alias("one")).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    size = df.limit(max_rows + 1).select(_row_bytes(df).alias("b")).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if size[0] <= max_rows and (size[1] or 0) <= max_bytes else df
 
 
 def task_width(spark: SparkSession, rows: int, per_task: int = 50_000) -> int:
     """Partitions for ``rows`` of Python-bound work.
 
-    At least one per task slot, at most the session's shuffle width, so a
-    small input is not cut into hundreds of empty Python tasks.
+    One per task slot at least, so a small input is not cut into hundreds of empty
+    tasks, and more in proportion to the rows.  Beyond ``MOST_TASKS``, which
+    the scheduler still handles well, tasks grow instead.
     """
     slots = spark.sparkContext.defaultParallelism
-    widest = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(max(widest, slots), max(slots, -(-rows // per_task))))
+    return max(1, slots, min(MOST_TASKS, -(-rows // per_task)))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def shell_history(
         batch.withColumn("at", F.col("row.byte_offset")),
         source=F.lit("powershell-history"),
         event_type=F.when(F.col("big"), "shell_history_batch").otherwise("shell_command"),
-        event_id=X.event_id(F.lit("powershell-history"), F.col("path"), F.col("row.byte_offset")),
+        event_id=X.event_id(F.lit("powershell-history"), F.col("path"), F.col("poll"), F.col("row.byte_offset")),
         ts=ts,
         project=F.lit("shell"),
         cwd=F.lit(home),
@@ -172,7 +172,12 @@ def web_clips(
     keep: tuple[str, ...] = ("url",),
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
-    """Page or selection records ``(url, title, host, selection, page_text)``."""
+    """Page or selection records ``(url, title, host, selection, page_text)``.
+
+    A column ``capture`` (a time or number of the capture) tells apart repeated
+    captures of the same text; without it they are one event.
+    """
+    captured = [F.col("capture")] if "capture" in pages.columns else []
     whole = {
         "page": F.lit(True),
         "selection": F.lit(False),
@@ -191,7 +196,7 @@ def web_clips(
         rows,
         source=F.lit("browser"),
         event_type=F.when(F.col("_page"), "web_page").otherwise("web_clip"),
-        event_id=X.event_id(F.lit("browser"), F.col("url"), F.sha2(F.col("_text"), 256)),
+        event_id=X.event_id(F.lit("browser"), F.col("url"), F.sha2(F.col("_text"), 256), *captured),
         ts=ts,
         project=F.lit("browser"),
         summary=F.col("title"),

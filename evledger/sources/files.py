@@ -7,9 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evledger import positions
 from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.envelope import build_event
+from evledger.session import materialize
 from evledger.sources.tail import plain_path
 
 # What a watcher skips unless told otherwise.  The store's own
@@ -186,17 +188,25 @@ def watch_baseline(
     project: Column | None = None,
     ts: Column | str | None = None,
     source: str = "file-watch",
+    version: Column | None = None,
     namespace: str = S.NAMESPACE,
+    roots: DataFrame | None = None,
 ) -> DataFrame:
-    """First snapshot of a root: its file count."""
+    """First snapshot of a root: its file count.
+
+    ``roots`` lists roots that count even without a file.  ``version`` numbers the
+    snapshot, so a second baseline of the same root is an event of its own.
+    """
     root = F.col("root")
     counted = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if roots is not None:
+        counted = roots.join(counted, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     count = F.col("n").cast("string")
     return build_event(
         counted,
         source=F.lit(source),
         event_type=F.lit("watch_baseline"),
-        event_id=X.event_id(F.lit(source), *[F.col(k) for k in keys], F.lit("baseline")),
+        event_id=X.event_id(F.lit(source), *[F.col(k) for k in keys], F.lit("baseline"), *([] if version is None else [version])),
         ts=ts,
         project=project,
         cwd=root,
@@ -210,24 +220,23 @@ def watch_baseline(
 
 
 def watch_once(spark: SparkSession, root: str, state_path: str, globs=None, **options) -> DataFrame:
-    """Compare a tree with its saved snapshot; the snapshot is replaced first.
+    """Compare a tree with its saved snapshot; the new one becomes the next version.
 
-    Returns no row when nothing changed.
+    Returns no row when nothing changed.  The version is part of the event ids, so
+    equal changes at different times are different events, and a repeated call
+    after a crash gives the same ones.
     """
-    from evledger.session import materialize, scratch_path
-
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    current = materialize(tree_snapshot(spark, root, globs).withColumn("root", F.lit(root)), "tree")
-    if not fs.exists(path):
-        current.write.parquet(state_path)
-        return watch_baseline(current, **options)
-    # Copy the old snapshot aside: it is read after the new one replaces it.
-    kept = scratch_path(spark, "tree-before")
-    spark.read.parquet(state_path).write.parquet(kept)
-    previous = spark.read.parquet(kept)
-    current.write.mode("overwrite").parquet(state_path)
-    if previous.limit(1).count() == 0:
-        return watch_baseline(current, **options)
-    changes = snapshot_diff(previous, current).withColumn("root", F.lit(root))
-    return change_batches(changes, **options)
+    previous, number = positions.load(spark, state_path)
+    version = F.lit(number + 1)
+    snapshot = tree_snapshot(spark, root, globs).withColumn("root", F.lit(root))
+    current = materialize(snapshot, "tree")
+    if previous is None or previous.isEmpty():
+        roots = spark.createDataFrame([(root,)], "root string")
+        events = watch_baseline(current, roots=roots, version=version, **options)
+    else:
+        changes = snapshot_diff(previous, current).withColumn("root", F.lit(root))
+        events = change_batches(changes, version=version, **options)
+    # The events are fixed before the snapshot moves on.
+    events = materialize(events, "watch-events")
+    positions.save(current, state_path)
+    return events

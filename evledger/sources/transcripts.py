@@ -61,7 +61,7 @@ def _turn(
         rows.where(~X.is_blank(F.col("body"))),
         source=F.lit(source),
         event_type=F.concat(F.lit("agent_"), role, F.lit("_turn")),
-        event_id=X.event_id(F.lit(source), F.col("path"), F.col("byte_offset")),
+        event_id=X.event_id(F.lit(source), *X.position_parts(rows.columns)),
         ts=ts,
         project=project,
         cwd=cwd,

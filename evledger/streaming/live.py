@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from evledger import positions
 from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.chain import chain_build, chain_heads
@@ -97,7 +99,7 @@ def append_stream(
                 df, number, ledger, policy=policy, order=order, namespace=namespace
             )
         )
-        .queryName(f"append-{abs(hash(ledger)) % 10**8}")
+        .queryName(f"append-{zlib.crc32(ledger.encode()):08x}")
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -150,13 +152,15 @@ def clip_change_stream(clips: DataFrame, **options) -> DataFrame:
 
 
 def save_cursors(envelopes: DataFrame, path: str, before: DataFrame | None = None) -> DataFrame:
-    """Persist the positions of sound batches; others keep their old cursor."""
+    """Persist the positions of sound batches; others keep their old cursor.
+
+    Positions are written as a new version beside the old one, so a crash at any
+    moment leaves one that is complete.
+    """
     rows = next_cursors(envelopes)
     if before is not None:
         rows = rows.unionByName(before.join(rows, "ledger_id", "left_anti"))
-    rows = materialize(rows, "cursors-next")
-    rows.write.mode("overwrite").parquet(path)
-    return rows
+    return positions.save(rows, path)
 
 
 def cursor_stream(
@@ -174,10 +178,7 @@ def cursor_stream(
     and its position is left alone: it is never rewound here.
     """
     spark = lines.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cursor_path)
-    saved = None
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        saved = materialize(spark.read.parquet(cursor_path), "cursors-saved")
+    saved, _ = positions.load(spark, cursor_path)
     fresh = zero_cursors(lines)
     cursors = fresh if saved is None else saved.unionByName(fresh.join(saved, "ledger_id", "left_anti"))
     number, reports = 0, None
@@ -191,8 +192,11 @@ def cursor_stream(
         more = sound.where(F.col("truncated") & (F.col("bytes_read") > 0)).select("ledger_id")
         done = envelopes.join(more, "ledger_id", "left_anti")
         reports = done if reports is None else reports.unionByName(done)
-        if more.limit(1).count() == 0 or (max_rounds and number >= max_rounds):
+        if more.isEmpty():
             return reports
+        if max_rounds and number >= max_rounds:
+            # Those with more to read are reported as they stand: truncated.
+            return reports.unionByName(envelopes.join(more, "ledger_id", "left_semi"))
         cursors = saved.join(more, "ledger_id", "left_semi")
 
 
