@@ -12,7 +12,7 @@ from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.envelope import build_event
 from evledger.session import materialize
-from evledger.sources.tail import plain_path
+from evledger.sources.tail import NAMED_FILES, escaped, plain_path
 
 # What a watcher skips unless told otherwise.  The store's own
 # folder is appended from the namespace.
@@ -59,17 +59,22 @@ def tree_snapshot(spark: SparkSession, root: str, globs: Iterable[str] | None =
 
 
 def file_artifacts(spark: SparkSession, requested: DataFrame, root: str) -> DataFrame:
-    """Artifact structs for requested ``(path, kind)``; missing files are kept."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            plain_path(F.col("path")).alias("path"),
-            F.col("length").alias("size"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    """Artifact structs for requested ``(path, kind)``; missing files are kept.
+
+    The listing opens no file; only the requested ones that exist are then read by
+    name, or all of ``root`` where they are very many.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    wanted = requested.select("path").distinct()
+    present = files.load(root).select(plain_path(F.col("path")).alias("path")).join(wanted, "path", "left_semi")
+    names = [escaped(row["path"]) for row in present.limit(NAMED_FILES + 1).collect()]
+    found = files.load(names if 0 < len(names) <= NAMED_FILES else root).select(
+        plain_path(F.col("path")).alias("path"),
+        F.col("length").alias("size"),
+        F.sha2("content", 256).alias("sha256"),
     )
+    if not names:
+        found = found.where(F.lit(False))
     return requested.join(found, "path", "left").select(
         "kind", "path", F.col("sha256").isNotNull().alias("exists"), "size", "sha256"
     )
