@@ -53,14 +53,15 @@ def arrow_map(
     schema: T.StructType | str,
     each: Callable[[pa.RecordBatch], dict[str, object]],
     sized_by: str | None = None,
+    limit: int = OUT_BYTES,
 ) -> DataFrame:
-    """``each`` turns a record batch into output columns, in bounded pieces."""
+    """``each`` turns a record batch into output columns, in pieces of ``limit`` bytes."""
     ship_package(df.sparkSession)
     target = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, sized_by) if sized_by else [batch]:
+            for part in slices(batch, sized_by, limit) if sized_by else [batch]:
                 out = each(part)
                 columns = [
                     out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)

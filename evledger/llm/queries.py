@@ -139,6 +139,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after private data are scrubbed."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    held = token_counts.states(table(spark, sf_dir, "documents"), path)
-    edited = token_counts.apply_edits(held, path, token_counts.scrub)
+    edited = token_counts.edit_documents(table(spark, sf_dir, "documents"), path, token_counts.scrub)
     return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded")

@@ -23,6 +23,8 @@ from evledger.llm.token_store import encoder
 from evledger.llm.tokens import Encoder, pieces
 
 Edit = tuple[int, int, str]
+#: Bytes of text whose pieces a task holds at once.
+PIECE_BYTES = 2 << 20
 HELD = (
     T.StructField("doc_id", T.LongType()),
     T.StructField("text", T.StringType()),
@@ -158,16 +160,38 @@ def states(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> Da
     schema = T.StructType([*HELD, *carried.values()])
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        coder = encoder(tokenizer)
-        wide = coder.dtype.itemsize
-        texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column("text"))]
-        rows, cuts = coder.parts(texts, with_cuts=True)
+        texts, lengths, counts = _leaves(batch, encoder(tokenizer))
         out = {c: batch.column(c) for c in ["doc_id", *carried]}
-        lengths = [list(map(len, cut)) for cut in cuts]
-        counts = [[len(ids) // wide for ids in row] for row in rows]
         return out | {"text": pa.array(texts), "lengths": lengths, "counts": counts}
 
-    return arrow_map(kept, schema, each, sized_by="text")
+    return arrow_map(kept, schema, each, sized_by="text", limit=PIECE_BYTES)
+
+
+def _leaves(batch: pa.RecordBatch, coder: Encoder) -> tuple[list[str], list[list[int]], list[list[int]]]:
+    """Texts, and characters and tokens of their pieces."""
+    wide = coder.dtype.itemsize
+    texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column("text"))]
+    rows, cuts = coder.parts(texts, with_cuts=True)
+    return texts, [list(map(len, cut)) for cut in cuts], [[len(ids) // wide for ids in row] for row in rows]
+
+
+def _edited(
+    text: str, lengths: list[int], counts: list[int], edits: list[Edit], count: Callable[[list[str]], list[int]]
+) -> tuple[str, list[int], list[int], int, int, int, int]:
+    """State after the edits, and its figures."""
+    before, again = sum(counts), 0
+    if edits:
+        ends = np.cumsum(lengths).tolist()
+        tree = CountTree([text[e - k : e] for e, k in zip(ends, lengths)], counts, count)
+        for edit in edits:
+            tree.edit(*edit)
+        leaves = [(p, c) for p, c in zip(tree.parts, tree.sums[tree.size :, 1].tolist()) if p]
+        text, lengths, counts = tree.text(), [len(p) for p, _ in leaves], [c for _, c in leaves]
+        again = tree.reencoded
+    return text, lengths, counts, before, len(edits), again, sum(counts)
+
+
+FIGURES = ("n_before", "n_edits", "reencoded", "n_tokens")
 
 
 def apply_edits(held: DataFrame, tokenizer: str, propose: Callable[[str], list[Edit]] | None = None) -> DataFrame:
@@ -177,31 +201,38 @@ def apply_edits(held: DataFrame, tokenizer: str, propose: Callable[[str], list[E
     ``propose`` gives for a text.  They apply in order, each to the text that the one
     before left; null means none.  ``reencoded`` counts characters.
     """
-    figures = [T.StructField(name, T.LongType()) for name in ("n_before", "n_edits", "reencoded", "n_tokens")]
-    schema = T.StructType([*HELD, *figures])
+    schema = T.StructType([*HELD, *(T.StructField(name, T.LongType()) for name in FIGURES)])
+    names = ["text", "lengths", "counts"]
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         count = counter(encoder(tokenizer))
-        out: dict[str, list[object]] = {f.name: [] for f in schema}
         wanted = batch.column("edits").to_pylist() if propose is None else None
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lengths", "counts")))
-        for n, (doc_id, text, lengths, counts) in enumerate(rows):
+        rows = []
+        for n, (text, lengths, counts) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
             edits = propose(text) if propose else [(e["start"], e["end"], e["new"] or "") for e in wanted[n] or []]
-            before, again = sum(counts), 0
-            if edits:
-                ends = np.cumsum(lengths).tolist()
-                tree = CountTree([text[e - k : e] for e, k in zip(ends, lengths)], counts, count)
-                for edit in edits:
-                    tree.edit(*edit)
-                leaves = [(p, c) for p, c in zip(tree.parts, tree.sums[tree.size :, 1].tolist()) if p]
-                text, lengths, counts = tree.text(), [len(p) for p, _ in leaves], [c for _, c in leaves]
-                again = tree.reencoded
-            row = (doc_id, text, lengths, counts, before, len(edits), again, sum(counts))
-            for name, value in zip(out, row):
-                out[name].append(value)
-        return out
-
-    return arrow_map(held, schema, each, sized_by="text")
+            rows.append(_edited(text, lengths, counts, edits, count))
+        columns = zip(*rows) if rows else [[]] * 7
+        return {"doc_id": batch.column("doc_id")} | dict(zip([*names, *FIGURES], map(list, columns)))
+
+    return arrow_map(held, schema, each, sized_by="text", limit=PIECE_BYTES)
+
+
+def edit_documents(docs: DataFrame, tokenizer: str, propose: Callable[[str], list[Edit]]) -> DataFrame:
+    """``(doc_id, n_before, n_edits, reencoded, n_tokens)``: trees built and edited in one pass.
+
+    Rows are those of `states` and `apply_edits`; the states are not kept.
+    """
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([HELD[0], *(T.StructField(name, T.LongType()) for name in FIGURES)])
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        coder = encoder(tokenizer)
+        count = counter(coder)
+        rows = [_edited(*leaves, propose(leaves[0]), count)[3:] for leaves in zip(*_leaves(batch, coder))]
+        columns = zip(*rows) if rows else [[]] * len(FIGURES)
+        return {"doc_id": batch.column("doc_id")} | dict(zip(FIGURES, map(list, columns)))
+
+    return arrow_map(kept, schema, each, sized_by="text", limit=PIECE_BYTES)
 
 
 _PRIVATE = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\(?\d[\d() -]{6,}\d")

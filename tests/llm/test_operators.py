@@ -249,6 +249,9 @@ def test_edit_tables_equal_encoding_anew(spark, documents):
         assert r["n_tokens"] == len(ids) == sum(r["counts"]) and r["n_edits"] == 2
     scrubbed = token_counts.apply_edits(held, TOKENIZER, token_counts.scrub).collect()
     assert any(r["n_edits"] for r in scrubbed)
+    names = ["doc_id", "n_before", "n_edits", "reencoded", "n_tokens"]
+    at_once = token_counts.edit_documents(documents, TOKENIZER, token_counts.scrub).select(*names).collect()
+    assert sorted(map(tuple, at_once)) == sorted(tuple(r[n] for n in names) for r in scrubbed)
     for r, ids in zip(scrubbed, plain_ids([r["text"] for r in scrubbed])):
         assert r["n_tokens"] == len(ids)
 
