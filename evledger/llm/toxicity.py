@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from evledger.llm.common import arrow_map, as_bytes, crc_fold
 
-SAMPLE = 2500
-SAMPLE_BYTES = 20_000_000
+SAMPLE = 2000
+SAMPLE_BYTES = 10_000_000
 BUCKETS = 1 << 17
 DIM = 12
 GRAM_LENGTHS = (3, 4, 5, 6)
