@@ -15,7 +15,7 @@ capped: each split keeps every pair within the distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -200,7 +200,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, bits: int =
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs, width, seed), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    members = components(near_links(distinct.select("fp"), distinct.count(), bits))
+    return classes_of(rows, distinct, near_links(distinct.select("fp"), distinct.count(), bits))
+
+
+def classes_of(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Root and component of each ``(doc_id, fp)``; ``distinct`` has ``(fp, least)``, ``links`` join fingerprints."""
+    members = components(links)
     rooted = distinct.join(members, distinct["fp"] == members["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -213,13 +218,15 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def keep_one(
+    docs: DataFrame, classes: DataFrame, prints: Callable[..., DataFrame] = fingerprints
+) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one for each.
 
     Kept is the row whose ``doc_id`` is its ``component_id``.  Where several rows
     carry that id (repeated rows, or components without any id), the one with the
     smallest hash of id and text stays.  ``classes`` is what `near_duplicates`
-    gave for ``docs``.
+    gave for ``docs``, with fingerprints as ``prints`` makes them.
     """
     names = docs.columns
     mark = "_fp"
@@ -234,7 +241,7 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if several.isEmpty():
         return alone
     same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    repeated = fingerprints(docs.join(several, same, "left_semi"), keep=mark)
+    repeated = prints(docs.join(several, same, "left_semi"), keep=mark)
     repeated = repeated.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_of")))
     order = Window.partitionBy("_root").orderBy(F.xxhash64("doc_id", "text"))
     repeated = repeated.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")

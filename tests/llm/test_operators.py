@@ -20,6 +20,7 @@ from evledger.llm import (
     html_text,
     language,
     mixing,
+    near_copies,
     queries,
     rans,
     simhash,
@@ -91,6 +92,41 @@ def test_simhash_equals_brute_force(spark, documents, monkeypatch, hot):
     assert got == {i: (f, least[root[f]]) for i, f in expected.items()}
 
 
+def plain_shingles(text, width=5):
+    words = SEEN.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    width = min(width, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def test_near_copies_equal_jaccard_brute_force(spark, documents):
+    """Also at 0.8 to 0.9, which fingerprints within four bits mostly miss."""
+    rng = random.Random(11)
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    for k in range(60):
+        one = prose(500 + k, 300).split()
+        rows.append((20_000 + 2 * k, " ".join(one)))
+        for at in rng.sample(range(300), 1 + k % 9):
+            one[at] = "changed"
+        rows.append((20_001 + 2 * k, " ".join(one)))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    alike = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    want = {}
+    for i in sorted(sets):  # components, by their smallest id
+        if i not in want:
+            front = [i]
+            want[i] = i
+            while front:
+                near = [j for j in sets if j not in want and any(alike(sets[j], sets[f]) for f in front)]
+                want |= dict.fromkeys(near, i)
+                front = near
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"), "copies")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}
+    assert got == want
+    assert sum(want[20_001 + 2 * k] == 20_000 + 2 * k for k in range(60)) > 30
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(want.values())
+
+
 def test_links_in_hot_buckets(spark, monkeypatch):
     """Fingerprints that share most bytes need every level of the index."""
     monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
