@@ -224,7 +224,8 @@ def keep_one(
     """The rows of ``docs`` that stand for their component, one for each.
 
     Kept is the row whose ``doc_id`` is its ``component_id``.  Where several rows
-    carry that id (repeated rows, or components without any id), the one with the
+    carry that id (repeated rows, also of other components, or components without
+    any id), fingerprints tell which belong to the component, and the one with the
     smallest hash of id and text stays.  ``classes`` is what `near_duplicates`
     gave for ``docs``, with fingerprints as ``prints`` makes them.
     """
@@ -232,9 +233,11 @@ def keep_one(
     mark = "_fp"
     while mark in names:
         mark += "_"
-    chosen = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = classes.filter(own)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root"))
-    per_id = materialize(chosen.groupBy("_id").agg(F.count("*").alias("copies")), "kept")
+    per_id = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("copies"), F.max(own).alias("_own"))
+    per_id = materialize(per_id.filter("_own").drop("_own"), "kept")
     single = broadcast_if_small(per_id.filter("copies = 1 AND _id IS NOT NULL").select("_id"))
     alone = docs.join(single, docs["doc_id"] == F.col("_id"), "left_semi")
     several = per_id.filter("copies > 1 OR _id IS NULL")

@@ -17,7 +17,7 @@ from evledger.llm import (
     url_filter,
 )
 from evledger.session import materialize
-from tests.llm.data import COLUMNS, TOKENIZER, odd_documents, write_tables
+from tests.llm.data import COLUMNS, TOKENIZER, odd_documents, prose, write_tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,6 +129,17 @@ def test_simhash(spark, odd, none):
     assert simhash.keep_one(clash, classes).columns == clash.columns
 
 
+def test_keep_one_with_a_repeated_id(spark):
+    """Id 5 stands for its first text only; its second is a copy of document 3."""
+    one, other = prose(21, 200), prose(22, 200)
+    rows = [(3, one), (5, other), (5, one.upper()), (9, other)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"), "repeated")
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, one), (5, other)]
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, one), (5, other)]
+
+
 def test_token_store(spark, odd, none):
     rows = token_store.store_digest(odd, TOKENIZER).collect()
     assert len(rows) == odd.count()
