@@ -226,13 +226,34 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE
     return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
+def packed(rows: list[tuple[int, int, int]], limit: int) -> list[int]:
+    """Ids of the ``(id, label, bytes)`` that fit into ``limit`` together, taken in order.
+
+    The label with fewer bytes has half of it at most, the other what is left.  A
+    text that does not fit is passed over, so it displaces no later one.
+    """
+    total: dict[int, int] = {}
+    for _, label, size in rows:
+        total[label] = total.get(label, 0) + size
+    taken: list[int] = []
+    for k, label in enumerate(sorted(total, key=lambda x: (total[x], x))):
+        room = start = limit // (len(total) - k)
+        for doc_id, own, size in rows:
+            if own == label and size <= room:
+                taken.append(doc_id)
+                room -= size
+        limit -= start - room
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model:
-    """Fit on the sample; of its texts, in hash order, about ``size`` bytes."""
+    """Fit on the sample; of its texts, in hash order, what fits into ``size`` bytes."""
     chosen = sample(docs, labels, learn, rows)
-    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > size:
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * size / total)
-        chosen = chosen.filter(part)
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    sizes = chosen.select("doc_id", "toxic", length, F.xxhash64("doc_id").alias("hash")).collect()
+    if sum(r["size"] for r in sizes) > size:
+        ordered = sorted(sizes, key=lambda r: (r["hash"], r["doc_id"]))
+        chosen = chosen.filter(F.col("doc_id").isin(packed([(r["doc_id"], r["toxic"], r["size"]) for r in ordered], size)))
     found = sorted(chosen.select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
     return fit([(r["text"] or "").encode() for r in found], [r["toxic"] for r in found])
 

@@ -52,6 +52,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.rate(none, toxicity.train(none, labels.limit(0), every)).count() == 0
 
 
+def test_toxicity_with_long_texts(spark):
+    """Long texts, one above the bound, do not displace the short ones."""
+    assert toxicity.packed([(1, 0, 900), (2, 1, 10), (3, 0, 80), (4, 0, 20), (5, 1, 10), (6, 0, 1)], 120) == [2, 5, 3, 4]
+    texts = [(k, f"{'vile' if k % 4 == 0 else 'mild'} words {k}") for k in range(40)]
+    texts += [(100 + k, "mild calm " * 200_000) for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40 and k % 4 == 0)) for k, _ in texts], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, F.lit(True), size=1000).fitted
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None), (2, ""), (None, "<p>a"), (4, "<p>b"), (4, "<p>b"), (5, "<div>" * 5000 + "x" * 200_000)],
