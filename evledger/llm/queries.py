@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evledger.llm import decontaminate, html_text, language, mixing, quality, quality_sql, simhash, token_counts, token_store, toxicity, url_filter
-from evledger.llm.common import table
+from evledger.llm import (
+    decontaminate,
+    html_text,
+    language,
+    merkle,
+    mixing,
+    oracle_sql,
+    quality,
+    quality_sql,
+    resampling,
+    simhash,
+    token_counts,
+    token_store,
+    toxicity,
+    url_filter,
+)
+from evledger.llm.common import crc_fold, table
 from evledger.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +156,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     edited = token_counts.edit_documents(table(spark, sf_dir, "documents"), path, token_counts.scrub)
     return edited.select("doc_id", "n_before", "n_edits", "n_tokens", "reencoded")
+
+
+@query("op11_merkle_manifest", oracle_sql.merkle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proved against the manifest, half of them after tampering."""
+    return merkle.audit(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 2) == 0)
+
+
+@query("op12_importance_resampling", oracle_sql.resampling())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document for the benchmark's distribution, and the draw by it."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
