@@ -14,6 +14,7 @@ from evledger.llm import (
     language,
     merkle,
     mixing,
+    ngram_lm,
     oracle_sql,
     quality,
     quality_sql,
@@ -168,3 +169,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every document for the benchmark's distribution, and the draw by it."""
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_ngram_lm")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    found = ngram_lm.score(docs, ngram_lm.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), *(c for c in found.columns if c != "doc_id"))
