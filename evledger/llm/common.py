@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evledger.session import ship_package
+from evledger.session import scratch_path, ship_package
 
 #: Word separators of every operator here: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -25,6 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Helper names that no column of a table has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    prefix = "_"
+    while any(f"{prefix}{n}".lower() in taken for n in names):
+        prefix += "_"
+    return [f"{prefix}{n}" for n in names]
+
+
+class Scratch:
+    """Written tables of one call, deleted together once what it returns is written.
+
+    A table can go while the call goes on: a lost executor only asks for tables that
+    the running plan reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.mode("errorifexists").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = []
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty.
 
