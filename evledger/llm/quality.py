@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evledger.llm.common import fresh
 from evledger.session import broadcast_if_small, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -69,37 +70,39 @@ def measure(docs: DataFrame, text: str = "text", into: str = "_quality") -> Data
     Words are runs of characters other than space and tab to carriage return.  A
     null or blank text has no words and no lines.  ``n_repeat_words`` counts words
     in 3-word windows that occur at least twice, the first included;
-    ``n_dup_lines`` counts lines with a word that equal an earlier one.
+    ``n_dup_lines`` counts lines with a word that equal an earlier one.  Repeated rows
+    are measured alike; all columns of ``docs`` are kept as they are, whatever their names.
     """
     columns = docs.columns
+    w_, l_, h_, s_, f_, a_ = fresh(columns, "words", "lines", "hashes", "sorted", "found", "at")
     value = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(value, F.lit(" \t\n\x0b\f\r"))
     step = docs.withColumns(
         {
-            "_words": F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, SPACES)),
-            "_lines": F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+            w_: F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, SPACES)),
+            l_: F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
-    step = step.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    step = step.withColumn(h_, F.transform(w_, lambda w: F.xxhash64(w)))
     keep = F.lit(-(1 << 24))  # all but the low 24 bits, which take the position
-    hashes = F.col("_hashes")
+    hashes = F.col(h_)
     windows = F.transform(
         F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))),
         lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(keep).bitwiseOR(i.cast("long")),
     )
-    step = step.withColumn("_sorted", F.sort_array(windows))
-    step = step.withColumn("_found", _repeat_words(F.col("_words"), hashes, F.col("_sorted")))
-    found = F.col("_found")
+    step = step.withColumn(s_, F.sort_array(windows))
+    step = step.withColumn(f_, _repeat_words(F.col(w_), hashes, F.col(s_)))
+    found = F.col(f_)
     equal = lambda x, y: F.coalesce((x.a == y.a) & (x.b == y.b) & (x.c == y.c), F.lit(False))
     step = step.withColumn(
-        "_at",
+        a_,
         F.sort_array(
             F.transform(
                 F.filter(found, lambda x, i: equal(x, F.get(found, i - 1)) | equal(x, F.get(found, i + 1))), lambda x: x.p
             )
         ),
     )
-    at = F.col("_at")
+    at = F.col(a_)
     covered = F.aggregate(
         F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))),
         F.lit(0),
@@ -107,12 +110,12 @@ def measure(docs: DataFrame, text: str = "text", into: str = "_quality") -> Data
     )
     lost = lambda pattern: F.length(value) - F.length(F.regexp_replace(value, pattern, ""))
     counts = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(w_).cast("long").alias("n_words"),
+        F.length(F.array_join(w_, "")).cast("long").alias("word_chars"),
         lost(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(l_) - F.size(F.array_distinct(l_))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size(l_).cast("long").alias("n_lines"),
         lost(r"[^\p{L}\p{N}\x20\x09-\x0D]+").cast("long").alias("n_marks"),
         lost(r"\p{Lu}+").cast("long").alias("n_capitals"),
     )
@@ -204,15 +207,17 @@ def judge(measured: DataFrame, q: str = "_quality") -> DataFrame:
     base rules has no fences and needs none.
     """
     # One row for each language and source: written once, so its size is known and texts do not shuffle.
-    limits = broadcast_if_small(materialize(thresholds(sketches(measured, q)), "thresholds"))
+    lang, source, fences = fresh(measured.columns, "lang", "source", "fences")
+    limits = materialize(thresholds(sketches(measured, q)), "thresholds").toDF(lang, source, fences)
+    limits = broadcast_if_small(limits)
     columns = [c for c in measured.columns if c != q]
-    both = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    both = F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source))
     values = _measures(q)
     broken = []
     for rule in RULES:
-        bad = bin_of(values[rule.name]) > F.col(f"_fences.{rule.name}_most")
+        bad = bin_of(values[rule.name]) > F.col(f"{fences}.{rule.name}_most")
         if rule.low:
-            bad |= bin_of(values[rule.name]) < F.col(f"_fences.{rule.name}_least")
+            bad |= bin_of(values[rule.name]) < F.col(f"{fences}.{rule.name}_least")
         broken.append(F.when(bad, F.lit(rule.name)))
     failed = base_failed(q)
     names = F.array_compact(F.array(*broken))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evledger.llm.common import arrow_map, as_bytes
+from evledger.llm.common import arrow_map, as_bytes, fresh
 from evledger.llm.components import components
 from evledger.session import broadcast_if_small, materialize, ship_package, task_width
 
@@ -230,22 +230,20 @@ def keep_one(
     gave for ``docs``, with fingerprints as ``prints`` makes them.
     """
     names = docs.columns
-    mark = "_fp"
-    while mark in names:
-        mark += "_"
+    mark, name, of, tree, nth, own_ = fresh(names, "fp", "id", "of", "root", "nth", "own")
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     chosen = classes.filter(own)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root"))
-    per_id = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("copies"), F.max(own).alias("_own"))
-    per_id = materialize(per_id.filter("_own").drop("_own"), "kept")
-    single = broadcast_if_small(per_id.filter("copies = 1 AND _id IS NOT NULL").select("_id"))
-    alone = docs.join(single, docs["doc_id"] == F.col("_id"), "left_semi")
-    several = per_id.filter("copies > 1 OR _id IS NULL")
+    chosen = chosen.select(F.col("doc_id").alias(name), F.col("fp").alias(of), F.col("root").alias(tree))
+    per_id = classes.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n"), F.max(own).alias(own_))
+    per_id = materialize(per_id.filter(own_).drop(own_), "kept")
+    single = broadcast_if_small(per_id.filter((F.col("n") == 1) & F.col(name).isNotNull()).select(name))
+    alone = docs.join(single, docs["doc_id"] == F.col(name), "left_semi")
+    several = per_id.filter((F.col("n") > 1) | F.col(name).isNull()).select(name)
     if several.isEmpty():
         return alone
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    same = docs["doc_id"].eqNullSafe(F.col(name))
     repeated = prints(docs.join(several, same, "left_semi"), keep=mark)
-    repeated = repeated.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_of")))
-    order = Window.partitionBy("_root").orderBy(F.xxhash64("doc_id", "text"))
-    repeated = repeated.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    repeated = repeated.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(of)))
+    order = Window.partitionBy(tree).orderBy(F.xxhash64("doc_id", "text"))
+    repeated = repeated.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
     return alone.unionByName(repeated.select(*names))

@@ -112,8 +112,13 @@ def test_quality(spark, odd, none):
     assert judged.count() == odd.count()
     assert rows[1]["n_words"] == rows[2]["n_words"] == 0 and rows[3]["n_words"] == 2 and not rows[1]["kept"]
     assert quality.judge(quality.measure(none)).count() == 0
-    clash = odd.withColumn("_quality", F.lit(1))
-    assert quality.keep_good(clash).columns == clash.columns
+    names = ["_quality", "_words", "_lines", "_hashes", "_sorted", "_found", "_at", "_lang", "_source", "_fences", "__at", "q", "n"]
+    clash = odd.withColumns({n: F.lit(f"{n} stays") for n in names})
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns
+    assert kept.count() == quality.keep_good(odd).count()
+    for r in kept.collect():
+        assert all(r[n] == f"{n} stays" for n in names)
 
 
 def test_mixing(spark, odd, none):
@@ -135,8 +140,12 @@ def test_simhash(spark, odd, none):
     assert kept.columns == COLUMNS
     roots = classes.select("root").distinct().count()
     assert kept.count() == roots
-    clash = odd.withColumn("_fp", F.lit(1)).withColumn("root", F.lit("x"))
-    assert simhash.keep_one(clash, classes).columns == clash.columns
+    names = ["_fp", "root", "_id", "_of", "_root", "_nth", "_own", "n", "copies", "fp", "component_id", "__id"]
+    clash = odd.withColumns({n: F.lit(f"{n} stays") for n in names})
+    one = simhash.keep_one(clash, classes)
+    assert one.columns == clash.columns
+    assert sorted(map(str, (r["doc_id"] for r in one.collect()))) == sorted(map(str, (r["doc_id"] for r in kept.collect())))
+    assert all(r[n] == f"{n} stays" for r in one.collect() for n in names)
 
 
 def test_keep_one_with_a_repeated_id(spark):

@@ -62,6 +62,24 @@ def plain_components(fps, bits):
     return root
 
 
+def plain_copies(sets):
+    """Root of each shingle set: sets at Jaccard 0.8 or more connect."""
+    every = sorted(set(sets), key=sorted)
+    root = {s: s for s in every}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            both = len(a & b)
+            if 10 * both >= 8 * (len(a) + len(b) - both) and (both or not (a or b)):
+                root[find(a)] = find(b)
+    return {s: find(s) for s in every}
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     if not os.path.isdir(DATA):
@@ -405,11 +423,11 @@ def test_pipeline_against_brute_force(spark, documents, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     good = {r[0] for r in con.sql(f"SELECT doc_id FROM ({queries.ORACLES['op8_quality_rules']}) WHERE kept").fetchall()}
     assert {r["doc_id"] for r in kept.collect()} == good
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in kept.collect()}
-    root = plain_components(set(fps.values()), 4)
+    sets = {r["doc_id"]: frozenset(near_copies.shingles((r["text"] or "").encode()).tolist()) for r in kept.collect()}
+    root = plain_copies(list(sets.values()))
     least = {}
-    for i in sorted(fps):
-        least.setdefault(root[fps[i]], i)
+    for i in sorted(sets):
+        least.setdefault(root[sets[i]], i)
     single = materialize(stages["near_dedup"](spark, kept, DATA), "s2")
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(least.values())
     clean = materialize(stages["decontamination"](spark, single, DATA), "s3")
