@@ -58,7 +58,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = None) -> DataFram
         return {"doc_id": batch.column("doc_id"), "n": [len(x) // wide for x in ids], "ids": ids}
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(kept, "doc_id long, n long, ids binary", each, sized_by="text", limit=4 << 20)
+    return arrow_map(kept, "doc_id long, n long, ids binary", each, sized_by="text", limit=2 << 20)
 
 
 def id_counts(ids: DataFrame, size: int) -> np.ndarray:

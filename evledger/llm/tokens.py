@@ -13,6 +13,10 @@ import numpy as np
 _PLACE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
+#: Characters of the longest piece that is remembered, and what an entry takes beside its characters and ids.
+LONGEST, ENTRY = 64, 180
+
+
 def pieces(text: str) -> list[str]:
     """The text cut where its tokens never join; joined they are the text."""
     return _PLACE.split(text)
@@ -41,11 +45,12 @@ class Encoder:
 
     Words repeat, so most pieces come from the memory; new ones are encoded by
     the library, many in one string that is cut again by the tokens' byte
-    lengths.  The result is that of encoding the whole text.  The memory holds
-    ``remember`` pieces; it starts anew when most of what comes is not in it.
+    lengths.  The result is that of encoding the whole text.  The memory holds about
+    ``remember`` bytes, no piece of more than `LONGEST` characters; it starts anew when most
+    of what comes is not in it.
     """
 
-    def __init__(self, path: str, remember: int = 500_000) -> None:
+    def __init__(self, path: str, remember: int = 64 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,6 +64,7 @@ class Encoder:
         self.bytes_in[list(vocabulary.values())] = list(map(len, vocabulary))
         self.remember = remember
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _each(self, new: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
@@ -85,8 +91,11 @@ class Encoder:
         """Encodes pieces that are not in the memory, and remembers them."""
         joins = [p for p in wanted if p[:1] in (" ", "\n") and not p[-1].isspace()]
         found = self._joined(joins)
-        if len(self.known) + len(found) <= self.remember:
-            self.known.update(found)
+        kept = {piece: ids for piece, ids in found.items() if len(piece) <= LONGEST}
+        size = ENTRY * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, kept.values()))
+        if self.held + size <= self.remember:
+            self.known.update(kept)
+            self.held += size
         return found | self._each(list(wanted.difference(found)))
 
     def parts(self, texts: list[str], with_cuts: bool = False):
@@ -119,8 +128,8 @@ class Encoder:
             row = rows[n]
             for i in places:
                 row[i] = found[cut[i]]
-        if len(self.known) * 10 > self.remember * 9 and 2 * missed > seen:
-            self.known = {}
+        if self.held * 10 > self.remember * 9 and 2 * missed > seen:
+            self.known, self.held = {}, 0
         return (rows, cuts) if with_cuts else rows
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -13,6 +13,7 @@ from evledger.llm import (
     simhash,
     token_counts,
     token_store,
+    tokens,
     toxicity,
     url_filter,
 )
@@ -181,3 +182,15 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             docs = materialize(stage(spark, docs, str(tmp_path)), name)
             assert docs.columns == COLUMNS
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_memory_of_the_encoder_is_bounded_by_bytes():
+    """Long pieces are never remembered, and what is remembered stays within its bytes."""
+    coder = tokens.Encoder(TOKENIZER, remember=200_000)
+    plain = tokens.Encoder(TOKENIZER)
+    long = ["x" * 100_000 + f"{k} yy" for k in range(5)]
+    many = [" ".join(f"word{n}" for n in range(k, k + 3000)) for k in range(0, 12_000, 1500)]
+    for texts in (long, many, many[::-1]):
+        assert coder.encode(texts) == plain.encode(texts)
+        assert all(len(p) <= tokens.LONGEST for p in coder.known) and coder.held <= 200_000
+        assert len(coder.known) * tokens.ENTRY <= 200_000
