@@ -8,12 +8,19 @@ files nobody reads.
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evledger import schema as S
 from evledger.functions import text as X
+from evledger.operators import digest as D
 from evledger.operators import read as R
 from evledger.operators import verify as V
 from evledger.operators.chain import chain_build, chain_lines
@@ -30,59 +37,27 @@ class LedgerNotSealableError(RuntimeError):
     """Integrity errors that an archive may not carry."""
 
 
-# -- digests -----------------------------------------------------------------
-
-_LEAF_BYTES = 1 << 20
-_FAN_IN = 4096
-_LEVELS = 3
+class LedgerAlreadySealedError(RuntimeError):
+    """Another seal of the ledger was committed first."""
 
 
-def _fold_digests(rows: DataFrame, width: int) -> DataFrame:
-    return (
-        rows.groupBy("ledger_id", F.floor(F.col("at") / width).cast("long").alias("up"))
-        .agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("d"))
-        .select(
-            "ledger_id",
-            F.col("up").alias("at"),
-            F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ""), 256).alias("digest"),
-        )
-    )
+# -- digests -----------------------------------------------------------------
 
 
 def snapshot_digest(lines: DataFrame) -> DataFrame:
-    """(ledger_id, sha256) over the exact bytes of each ledger.
-
-    A digest tree, because one running digest would send a whole ledger
-    through one task: lines, then 1 MiB ranges, then fixed fan-in levels.
-    """
-    ending = F.when(F.col("terminated"), F.lit(b"\n")).otherwise(F.lit(b""))
-    digests = lines.select(
-        "ledger_id",
-        F.col("byte_offset").alias("at"),
-        F.sha2(F.concat(F.col("value"), ending), 256).alias("digest"),
-    )
-    digests = _fold_digests(digests, _LEAF_BYTES)
-    for _ in range(_LEVELS):
-        digests = _fold_digests(digests, _FAN_IN)
-    return digests.select("ledger_id", F.col("digest").alias("sha256"))
+    """(ledger_id, sha256) over the exact bytes of each ledger."""
+    digest = D.line_digest(F.col("value"), F.col("terminated")).alias("digest")
+    return D.tree_digest(lines.select("ledger_id", F.col("byte_offset").alias("at"), digest))
 
 
 def breakpoint_digest(breakpoints: DataFrame) -> DataFrame:
     """(ledger_id, sha256) over the breakpoint rows of each ledger."""
     fields = [f.name for f in S.BREAKPOINT_TYPE.fields]
-    rows = breakpoints.select(
-        "ledger_id",
-        F.col("byte_offset").alias("at"),
-        F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("digest"),
-    )
-    rows = _fold_digests(rows, _LEAF_BYTES)
-    for _ in range(_LEVELS):
-        rows = _fold_digests(rows, _FAN_IN)
-    return rows.select("ledger_id", F.col("digest").alias("sha256"))
+    digest = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("digest")
+    return D.tree_digest(breakpoints.select("ledger_id", F.col("byte_offset").alias("at"), digest))
 
 
-def _empty_digest() -> Column:
-    return F.sha2(F.lit(""), 256)
+_empty_digest = D.empty_digest
 
 
 # -- documents ---------------------------------------------------------------
@@ -110,11 +85,43 @@ def archive_ids(ledger_id: Column, sealed_at: Column) -> Column:
     )
 
 
+_LIST = (
+    "schema_version string, generated_at string, archive_id string, ledger_id string, ledger_sha256 string,"
+    " byte_size bigint, count bigint, rows_sha256 string"
+)
+
+
+def breakpoint_lists(
+    summary: DataFrame, digests: DataFrame, breakpoint_digests: DataFrame, sealed_at: str, namespace: str = S.NAMESPACE
+) -> DataFrame:
+    """(ledger_id, document): the head of each ledger's breakpoint list.
+
+    The list itself stays a table, however long; the head pins its count and the digest
+    of its rows, beside the size and digest of the ledger it belongs to.
+    """
+    rows = (
+        summary.select("ledger_id", "byte_size", "breakpoint_count")
+        .join(digests.withColumnRenamed("sha256", "_sha"), "ledger_id")
+        .join(breakpoint_digests.withColumnRenamed("sha256", "_bp"), "ledger_id", "left")
+    )
+    body = F.struct(
+        F.lit(S.schema_id(S.BREAKPOINT_LIST, namespace)).alias("schema_version"),
+        F.lit(sealed_at).alias("generated_at"),
+        archive_ids(F.col("ledger_id"), F.lit(sealed_at)).alias("archive_id"),
+        "ledger_id",
+        F.col("_sha").alias("ledger_sha256"),
+        "byte_size",
+        F.col("breakpoint_count").alias("count"),
+        F.coalesce("_bp", _empty_digest()).alias("rows_sha256"),
+    )
+    return rows.select("ledger_id", F.to_json(body).alias("document"))
+
+
 def manifests(
     summary: DataFrame,
     digests: DataFrame,
     reports: DataFrame,
-    breakpoint_digests: DataFrame,
+    lists: DataFrame,
     sealed_at: str,
     active: str,
     archive: str,
@@ -124,7 +131,7 @@ def manifests(
     rows = (
         summary.join(digests.withColumnRenamed("sha256", "_sha"), "ledger_id")
         .join(reports.select("ledger_id", F.sha2("report", 256).alias("_report")), "ledger_id")
-        .join(breakpoint_digests.withColumnRenamed("sha256", "_bp"), "ledger_id", "left")
+        .join(lists.select("ledger_id", F.sha2("document", 256).alias("_bp")), "ledger_id")
         .withColumn("archive_id", archive_ids(F.col("ledger_id"), F.lit(sealed_at)))
     )
     path = F.concat(F.lit(f"{archive}/lines/ledger_id="), F.col("ledger_id"))
@@ -152,8 +159,8 @@ def manifests(
             F.lit(0).cast("long").alias("fatal_error_count"),
         ).alias("verification"),
         F.struct(
-            F.lit(f"{archive}/breakpoints").alias("path"),
-            F.coalesce("_bp", _empty_digest()).alias("sha256"),
+            F.lit(f"{archive}/breakpoint_lists").alias("path"),
+            F.col("_bp").alias("sha256"),
             F.col("breakpoint_count").alias("count"),
         ).alias("breakpoints"),
         F.lit(None).cast("string").alias("state_sidecar"),
@@ -265,7 +272,9 @@ def seal(
     anything is written; otherwise the refused ledgers stay active.
     """
     spark = lines.sparkSession
-    facts = materialize(table_facts(lines), "seal-facts")
+    # Each line is digested as it is verified; the frozen copy is held against that below.
+    digested = lines.withColumn("line_sha", F.unhex(D.line_digest(F.col("value"), F.col("terminated"))))
+    facts = materialize(table_facts(digested), "seal-facts")
     errors = materialize(V.verify_errors(facts, namespace), "seal-errors")
     refused = V.seal_gate(errors)
     first = refused.orderBy("ledger_id").first()
@@ -288,18 +297,25 @@ def seal(
         .partitionBy("ledger_id")
         .parquet(f"{archive}/lines")
     )
-    stored = archive_lines(spark, archive)
+    frozen = materialize(snapshot_digest(archive_lines(spark, archive)), "seal-digests")
+    seen = D.scanned_digest(facts).withColumnRenamed("sha256", "_seen")
+    changed = seen.join(frozen, "ledger_id", "full_outer").where(~F.col("_seen").eqNullSafe(F.col("sha256")))
+    other = changed.orderBy("ledger_id").first()
+    if other is not None:
+        raise SealedArchiveError(f"ledger changed while it was sealed: {other['ledger_id']}")
     breaks = V.verify_breakpoints(errors)
     breaks.write.mode("errorifexists").parquet(f"{archive}/breakpoints")
     breaks = spark.read.schema(breaks.schema).parquet(f"{archive}/breakpoints")
     summary = materialize(V.verify_summary(facts, errors), "seal-summary")
     reports = verify_reports(summary, sealed_at, active, archive, namespace)
     reports.write.mode("errorifexists").parquet(f"{archive}/reports")
+    lists = breakpoint_lists(summary, frozen, breakpoint_digest(breaks), sealed_at, namespace)
+    lists.write.mode("errorifexists").parquet(f"{archive}/breakpoint_lists")
     rows = manifests(
         summary,
-        snapshot_digest(stored),
+        frozen,
         spark.read.schema(reports.schema).parquet(f"{archive}/reports"),
-        breakpoint_digest(breaks),
+        spark.read.schema(lists.schema).parquet(f"{archive}/breakpoint_lists"),
         sealed_at,
         active,
         archive,
@@ -322,6 +338,113 @@ def start_new_ledgers(
     return chain_lines(transition_events(manifest_rows, sealed_at, namespace=namespace))
 
 
+# -- sealing as one transaction ------------------------------------------------
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it is there already; of several writers one succeeds."""
+    target, fs = _hadoop(spark, path)
+    fs.mkdirs(target.getParent())
+    local = target.toUri().getPath() if fs.getScheme() == "file" else None
+    if local is not None:
+        # A local rename replaces, a link does not.
+        staged = f"{local}.{uuid.uuid4().hex}"
+        with open(staged, "w") as file:
+            file.write(text)
+        try:
+            os.link(staged, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(staged)
+        return True
+    try:
+        out = fs.create(target, False)
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    out.write(text.encode())
+    out.close()
+    return True
+
+
+def committed_seals(spark: SparkSession, registry: str) -> list[str]:
+    """Folders of the committed seals, oldest first.  A commit that is not written out yet is none."""
+    target, fs = _hadoop(spark, f"{registry}/commits")
+    found = {}
+    for status in fs.listStatus(target) if fs.exists(target) else []:
+        name = status.getPath().getName()
+        if re.fullmatch(r"[0-9]{12}\.json", name):
+            stream = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(status.getPath()), "UTF-8")
+            with contextlib.suppress(ValueError):
+                found[name] = json.loads(stream)["seal"]
+    return [found[name] for name in sorted(found)]
+
+
+def registered_archives(spark: SparkSession, registry: str) -> DataFrame:
+    """Registry entries of all committed seals; an absent registry reads as empty."""
+    seals = committed_seals(spark, registry)
+    if not seals:
+        return list_archives(spark, f"{registry}/none")
+    return spark.read.parquet(*[f"{s}/registry" for s in seals])
+
+
+def continued_ledgers(spark: SparkSession, registry: str) -> DataFrame | None:
+    """First lines of the ledgers that the committed seals opened and none of them sealed since."""
+    seals = committed_seals(spark, registry)
+    if not seals:
+        return None
+    lines = spark.read.parquet(*[f"{s}/next" for s in seals])
+    return lines.join(registered_archives(spark, registry).select("ledger_id"), "ledger_id", "left_anti")
+
+
+def seal_and_continue(
+    lines: DataFrame,
+    archives: str,
+    registry: str,
+    *,
+    sealed_at: str,
+    active: str = "",
+    strict: bool = True,
+    namespace: str = S.NAMESPACE,
+) -> DataFrame:
+    """Seal ledgers, register their archives and open their successors: all of it or nothing.
+
+    Everything is staged in a folder of this attempt.  One small file, created only if no
+    other seal took its number, then makes it part of the registry: lines, report,
+    breakpoints, manifest, entry and transition event become visible together.  A
+    crash before leaves a folder that nobody reads.  If another seal was committed
+    meanwhile, ledgers that it sealed refuse this one.  Returns the entries.
+    """
+    spark = lines.sparkSession
+    target = f"{archives}/seal-{uuid.uuid4().hex}"
+    try:
+        rows = seal(lines, target, sealed_at=sealed_at, active=active, strict=strict, namespace=namespace)
+        registry_entries(rows, f"{target}/manifests").write.mode("errorifexists").parquet(f"{target}/registry")
+        start_new_ledgers(rows, sealed_at, namespace).write.mode("errorifexists").parquet(f"{target}/next")
+        entries = spark.read.parquet(f"{target}/registry")
+        while True:
+            others = committed_seals(spark, registry)
+            if others:
+                known = spark.read.parquet(*[f"{s}/registry" for s in others])
+                twice = entries.join(known, "ledger_id", "left_semi").orderBy("ledger_id").first()
+                if twice is not None:
+                    raise LedgerAlreadySealedError(f"ledger is sealed already: {twice['ledger_id']}")
+            document = json.dumps({"seal": target, "sealed_at": sealed_at, "after": len(others)})
+            if create_once(spark, f"{registry}/commits/{len(others) + 1:012d}.json", document):
+                return entries
+    except Exception:
+        folder, fs = _hadoop(spark, target)
+        fs.delete(folder, True)
+        raise
+
+
 # -- reading archives --------------------------------------------------------
 
 
@@ -401,9 +524,10 @@ def archive_context(
     lines = archive_lines(spark, archive)
     breaks = spark.read.parquet(f"{archive}/breakpoints")
     reports = spark.read.parquet(f"{archive}/reports")
+    lists = spark.read.parquet(f"{archive}/breakpoint_lists")
     if ledger_id is not None:
         only = F.col("ledger_id") == ledger_id
-        rows, lines, breaks, reports = (t.where(only) for t in (rows, lines, breaks, reports))
+        rows, lines, breaks, reports, lists = (t.where(only) for t in (rows, lines, breaks, reports, lists))
     counted = breaks.groupBy("ledger_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.bool_and(F.col("code") == S.PREVIOUS_HASH_MISMATCH).alias("_codes"),
@@ -415,15 +539,23 @@ def archive_context(
         .join(snapshot_digest(lines).withColumnRenamed("sha256", "_sha"), "ledger_id", "left")
         .join(reports.select("ledger_id", F.sha2("report", 256).alias("_report")), "ledger_id", "left")
         .join(breakpoint_digest(breaks).withColumnRenamed("sha256", "_bp"), "ledger_id", "left")
+        .join(lists.groupBy("ledger_id").agg(F.min("document").alias("_list"), F.count("*").alias("_lists")), "ledger_id", "left")
+        .withColumn("_head", F.from_json("_list", _LIST))
         .join(counted, "ledger_id", "left")
     )
     zero = F.lit(0).cast("long")
+    head, counted_rows = F.col("_head"), F.coalesce("_n", zero)
     checks = {
         "manifest_digest": F.sha2("manifest", 256) == F.col("manifest_sha256"),
         "archive_digest": F.col("_sha") == F.col("m.archive.sha256"),
         "report_digest": F.col("_report") == F.col("m.verification.sha256"),
-        "breakpoint_digest": F.coalesce("_bp", _empty_digest()) == F.col("m.breakpoints.sha256"),
-        "breakpoint_count": F.coalesce("_n", zero) == F.col("m.breakpoints.count"),
+        "breakpoint_list": (F.col("_lists") == 1) & (F.sha2("_list", 256) == F.col("m.breakpoints.sha256")),
+        "breakpoint_schema": head["schema_version"] == S.schema_id(S.BREAKPOINT_LIST, namespace),
+        "breakpoint_owner": (head["archive_id"] == F.col("archive_id"))
+        & (head["ledger_sha256"] == F.col("m.archive.sha256"))
+        & (head["byte_size"] == F.col("m.archive.byte_size")),
+        "breakpoint_digest": F.coalesce("_bp", _empty_digest()) == head["rows_sha256"],
+        "breakpoint_count": (counted_rows == F.col("m.breakpoints.count")) & (counted_rows == head["count"]),
         "breakpoint_codes": F.coalesce("_codes", F.lit(True)),
         "breakpoint_offsets": F.coalesce("_offsets", F.lit(True))
         & (F.coalesce("_n", zero) == F.coalesce("_distinct", zero)),

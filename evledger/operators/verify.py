@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from evledger import schema as S
 from evledger.functions import text as X
+from evledger.operators.digest import scanned_digest
 from evledger.operators.segments import later_copies
 from evledger.session import broadcast_if_small, materialize
 from evledger.sources.lines import ledger_of_path, scan_ledger
+from evledger.sources.tail import plain_path
 
 # Message of each error code.
 MESSAGES = {
@@ -251,15 +253,22 @@ def verify_ledger_id(
 
 
 def verify_ledger(
-    spark: SparkSession, paths: str | list[str], namespace: str = S.NAMESPACE, ledger: Column | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    namespace: str = S.NAMESPACE,
+    ledger: Column | None = None,
+    manifests: DataFrame | None = None,
+    states: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verify ledger text: (summary, errors).
 
     The listing is taken before and after the scan; a file that changed in
-    between adds an error to its ledger.
+    between adds an error to its ledger.  The summary also has the first file of
+    each ledger, the digest of its bytes, made in the same scan, and the id that it is known by:
+    from ``manifests`` or ``states`` (path, ledger_id), else derived from its content.
     """
     before = materialize(file_versions(spark, paths), "listing")
-    scan = scan_ledger(spark, paths, ledger=ledger)
+    scan = scan_ledger(spark, paths, ledger=ledger, digest=True)
     errors = verify_errors(scan.lines, namespace)
     after = materialize(file_versions(spark, paths), "listing")
     name = ledger if ledger is not None else ledger_of_path(F.col("path"))
@@ -268,4 +277,11 @@ def verify_ledger(
         changed.select("ledger_id", "code", "message").distinct(), allowMissingColumns=True
     )
     errors = materialize(errors, "errors")
-    return _summary(split_totals(scan.splits), errors), errors
+    summary = _summary(split_totals(scan.splits), errors)
+    places = scan.splits.groupBy("ledger_id").agg(plain_path(F.min("path")).alias("path"))
+    found = places.join(scanned_digest(scan.lines).withColumnRenamed("sha256", "snapshot_sha256"), "ledger_id")
+    # One row a ledger: paths lead to the known ids and back to the ledger's name here.
+    known = verify_ledger_id(found.drop("ledger_id"), manifests, states)
+    known = known.select("path", "snapshot_sha256", F.col("ledger_id").alias("known_id"))
+    identity = found.select("ledger_id", "path").join(known, "path")
+    return summary.join(identity, "ledger_id", "left"), errors

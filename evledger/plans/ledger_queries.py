@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evledger import positions
+from evledger.functions import text as X
 from evledger.operators import archive as A
 from evledger.operators import chain as H
 from evledger.operators import policy as P
@@ -15,6 +16,7 @@ from evledger.plans import base as B
 from evledger.plans.base import CHAIN, DAMAGED, GAPPED, LINES, query, table
 from evledger.session import materialize, scratch_path
 from evledger.sources import lines as L
+from evledger.sources.tail import plain_path
 
 # Small on purpose: at test scale every ordered operator crosses segments.
 ROWS = 500
@@ -143,15 +145,37 @@ def recent_events(spark, d):
 # -- verification ------------------------------------------------------------
 
 
+def _tree(lines: str, at: str, text: str) -> str:
+    """SQL of the digest tree over ``lines``, as ``digests``."""
+    return f"""
+t0 AS (SELECT ledger_id, {at} // 1048576 AS up, sha256(string_agg(sha256({text} || chr(10)), '' ORDER BY {at})) AS h
+       FROM {lines} GROUP BY ledger_id, up),
+t1 AS (SELECT ledger_id, up // 4096 AS v, sha256(string_agg(h, '' ORDER BY up)) AS h FROM t0 GROUP BY ledger_id, v),
+t2 AS (SELECT ledger_id, v // 4096 AS w, sha256(string_agg(h, '' ORDER BY v)) AS h FROM t1 GROUP BY ledger_id, w),
+digests AS (SELECT ledger_id, sha256(string_agg(h, '' ORDER BY w)) AS sha256 FROM t2 GROUP BY ledger_id)"""
+
+
 @query(
     "verify_ledger",
-    f"""{LINES} SELECT ledger_id, count(*) AS event_count, sum(byte_len)::BIGINT AS byte_size,
+    f"""{LINES}, {_tree("lines", "byte_offset", "line_text")}
+    SELECT ledger_id, count(*) AS event_count, sum(byte_len)::BIGINT AS byte_size,
       min_by(content_hash, seq) AS first_content_hash, max_by(event_id, seq) AS last_event_id,
       max_by(content_hash, seq) AS last_content_hash, 0::BIGINT AS error_count, 0::BIGINT AS breakpoint_count,
-      true AS valid FROM lines GROUP BY ledger_id""",
+      true AS valid, any_value(sha256) AS snapshot_sha256,
+      CASE right(ledger_id, 2)::INT % 3 WHEN 0 THEN 'known:' || ledger_id ELSE 'derived' END AS known_as
+    FROM lines JOIN digests USING (ledger_id) GROUP BY ledger_id""",
 )
 def verify_ledger(spark, d):
-    return V.verify_ledger(spark, B.ledger_files(spark, d))[0]
+    """One scan: counts, errors, the digest of the bytes, and the id each ledger is known by."""
+    paths = B.ledger_files(spark, d)
+    files = V.file_versions(spark, paths).select(plain_path(F.col("path")).alias("path"))
+    first = files.groupBy(L.ledger_of_path(F.col("path")).alias("_ledger")).agg(F.min("path").alias("path"))
+    named = first.where(F.right("_ledger", F.lit(2)).cast("int") % 3 == 0)
+    named = named.select("path", F.concat(F.lit("known:"), "_ledger").alias("ledger_id"))
+    summary, _ = V.verify_ledger(spark, paths, states=named)
+    derived = X.derived_ledger_id(F.col("path"), F.col("snapshot_sha256"))
+    known_as = F.when(F.col("known_id") == derived, "derived").otherwise(F.col("known_id"))
+    return summary.withColumn("known_as", known_as).drop("path", "known_id")
 
 
 @query("verify_errors", f"{DAMAGED} SELECT ledger_id, line, byte_offset, code, event_id FROM errors")
@@ -446,12 +470,7 @@ def export_jsonl(spark, d):
 _ARCHIVE_ID = f"'archive_' || left(sha256(ledger_id || chr(0) || '{B.SEALED_AT}'), 32)"
 
 # Digest tree: lines, 1 MiB ranges, three levels of 4096.
-_TREE = f"""{GAPPED},
-t0 AS (SELECT ledger_id, pos // 1048576 AS up, sha256(string_agg(sha256(line_text || chr(10)), '' ORDER BY pos)) AS h
-       FROM gapped GROUP BY ledger_id, up),
-t1 AS (SELECT ledger_id, up // 4096 AS v, sha256(string_agg(h, '' ORDER BY up)) AS h FROM t0 GROUP BY ledger_id, v),
-t2 AS (SELECT ledger_id, v // 4096 AS w, sha256(string_agg(h, '' ORDER BY v)) AS h FROM t1 GROUP BY ledger_id, w),
-digests AS (SELECT ledger_id, sha256(string_agg(h, '' ORDER BY w)) AS sha256 FROM t2 GROUP BY ledger_id)"""
+_TREE = f"""{GAPPED},{_tree("gapped", "pos", "line_text")}"""
 
 _COUNTS = """counts AS (SELECT g.ledger_id, count(*) AS event_count, sum(byte_len)::BIGINT AS byte_size,
     min_by(content_hash, seq) AS first_content_hash, max_by(content_hash, seq) AS last_content_hash,
@@ -468,13 +487,27 @@ def snapshot_digest(spark, d):
 @query(
     "seal",
     f"""{_TREE}, {_COUNTS} SELECT ledger_id, {_ARCHIVE_ID} AS archive_id, event_count, byte_size, sha256, first_content_hash,
-      last_content_hash, last_event_id, breakpoint_count FROM counts JOIN digests USING (ledger_id)""",
+      last_content_hash, last_event_id, breakpoint_count, 'sealed_read_only' AS status, true AS entry_pins_manifest,
+      'ledger_transition' AS next_event_type, true AS next_pins_manifest, true AS next_starts_chain
+    FROM counts JOIN digests USING (ledger_id)""",
 )
 def seal(spark, d):
-    path = scratch_path(spark, "seal")
-    rows = A.seal(B.gapped_table(spark, d), path, sealed_at=B.SEALED_AT, active="/ledgers/active")
-    m = F.from_json("manifest", A._MANIFEST)
-    return rows.withColumn("m", m).select(
+    """Archives, registry entries and successors of all ledgers, committed together."""
+    root, registry = scratch_path(spark, "seals"), scratch_path(spark, "seal-registry")
+    A.seal_and_continue(B.gapped_table(spark, d), root, registry, sealed_at=B.SEALED_AT, active="/ledgers/active")
+    archive = A.committed_seals(spark, registry)[0]
+    rows = A.load_manifests(spark, archive).withColumn("m", F.from_json("manifest", A._MANIFEST))
+    entries = A.registered_archives(spark, registry).select(
+        "archive_id", "status", F.col("manifest_sha256").alias("_entry"), F.col("ledger_sha256").alias("_sha")
+    )
+    p = F.from_json("payload", "archive_id string, archive_manifest_ref struct<sha256: string>")
+    opened = A.continued_ledgers(spark, registry).withColumn("p", p).select(
+        F.col("p.archive_id").alias("archive_id"),
+        F.col("event_type").alias("next_event_type"),
+        F.col("p.archive_manifest_ref.sha256").alias("_next"),
+        F.col("previous_hash").isNull().alias("next_starts_chain"),
+    )
+    return rows.join(entries, "archive_id").join(opened, "archive_id").select(
         "ledger_id",
         "archive_id",
         *[
@@ -482,6 +515,11 @@ def seal(spark, d):
             for n in ("event_count", "byte_size", "sha256", "first_content_hash", "last_content_hash", "last_event_id")
         ],
         F.col("m.breakpoints.count").alias("breakpoint_count"),
+        "status",
+        ((F.col("_entry") == F.col("manifest_sha256")) & (F.col("_sha") == F.col("m.archive.sha256"))).alias("entry_pins_manifest"),
+        "next_event_type",
+        (F.col("_next") == F.col("manifest_sha256")).alias("next_pins_manifest"),
+        "next_starts_chain",
     )
 
 
@@ -498,8 +536,8 @@ def archive_manifest(spark, d):
 @query(
     "archive_context",
     f"""{GAPPED}, c AS (SELECT unnest(['schema', 'archive', 'ledger_id', 'byte_size', 'path', 'digest_form', 'size_matches',
-      'manifest_digest', 'archive_digest', 'report_digest', 'breakpoint_digest', 'breakpoint_count', 'breakpoint_codes',
-      'breakpoint_offsets']) AS "check")
+      'manifest_digest', 'archive_digest', 'report_digest', 'breakpoint_list', 'breakpoint_schema', 'breakpoint_owner',
+      'breakpoint_digest', 'breakpoint_count', 'breakpoint_codes', 'breakpoint_offsets']) AS "check")
     SELECT DISTINCT ledger_id, "check", true AS ok FROM gapped, c""",
 )
 def archive_context(spark, d):

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from evledger.operators import audit as U
 from evledger.operators import health as K
 from evledger.operators import read as R
+from evledger.operators.policy import CapturePolicy
 from evledger.plans import base as B
 from evledger.plans import source_queries as Q
 from evledger.plans.base import CHAIN, ENV, LINES, query, table
 from evledger.session import materialize, scratch_path, spread
 from evledger.sources import transcripts as A
+from evledger.sources.growing import line_stream
 from evledger.streaming import live as V
 
 # -- metrics -----------------------------------------------------------------
@@ -231,6 +233,35 @@ def append_stream(spark, d):
     return V.read_ledger(spark, ledger).select("ledger_id", "seq", "previous_hash", "content_hash")
 
 
+@query(
+    "stream_metrics",
+    f"""WITH {ENV}, m AS (SELECT source, count(*) FILTER (WHERE project NOT LIKE 'user_1%') AS events,
+        count(*) FILTER (WHERE project LIKE 'user_1%') AS skipped FROM env GROUP BY source)
+    SELECT count(*) AS source_count, count(*) AS healthy_source_count, sum(events)::BIGINT AS events, sum(skipped)::BIGINT AS skipped,
+      0::BIGINT AS redactions, 7 * count(*)::BIGINT AS tracked_files, 5 * count(*)::BIGINT AS available_files FROM m""",
+)
+def stream_metrics(spark, d):
+    """One stream a source; its counts are observed while it appends and kept by a listener."""
+    names = {"codex", "cursor", "browser"}
+    path = scratch_path(spark, "metrics")
+    listener = V.attach_metrics(spark, path, names, lambda name: (7, 5))
+    policy = CapturePolicy(project_denylist=("user_1*",), redaction_enabled=False)
+    try:
+        running = [
+            V.append_stream(
+                event_stream(spark, d).where(F.col("source") == name), scratch_path(spark, f"metered-{name}"),
+                scratch_path(spark, "metered-cp"), policy=policy, once=True, name=name,
+            )
+            for name in sorted(names)
+        ]
+        V.single_pass(*running)
+        for query_ in running:
+            listener.wait(query_)
+    finally:
+        spark.streams.removeListener(listener)
+    return K.source_coverage(K.source_metrics(V.read_metrics(spark, path)))
+
+
 @query(
     "clip_change_stream",
     f"WITH {Q._CLIPS} SELECT clip_key, pos, text AS raw_text, length(text)::VARCHAR AS chars FROM changes",
@@ -244,10 +275,8 @@ def clip_change_stream(spark, d):
         F.when(F.col("event_type") == "error", " ").otherwise(F.repeat("event_type", F.lit(3))).alias("text"),
     )
     out = scratch_path(spark, "clips")
-    events = V.clip_change_stream(clips, ts=Q.AT)
-    writer = events.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "clips-cp"))
-    V.single_pass(writer.trigger(availableNow=True).start(out))
-    return spark.read.parquet(out).select(
+    V.single_pass(V.clip_change_stream(clips, out, scratch_path(spark, "clips-cp"), once=True, width=500, ts=Q.AT))
+    return V.read_clip_changes(spark, out).select(
         F.col("clip_key").cast("bigint").alias("clip_key"), "pos", "raw_text", *Q._payload("chars")
     )
 
@@ -257,22 +286,26 @@ def clip_change_stream(spark, d):
     f"SELECT event_type, project, count(*) AS n, sum(length(raw_text))::BIGINT AS chars, count(*) AS ids FROM ({Q._CLAUDE}) GROUP BY event_type, project",
 )
 def tail_stream(spark, d):
-    """Transcript segments as they land, parsed in the stream; bad lines drop out."""
+    """Lines that files gained, batch by batch, parsed in the stream; bad lines drop out."""
     source = scratch_path(spark, "segments")
     lines = Q.claude_lines(spark, d).select(F.xxhash64("path", "byte_offset").alias("byte_offset"), "text")
     broken = lines.select((-F.col("byte_offset") - 1).alias("byte_offset"), F.left("text", F.lit(20)).alias("text"))
     # Segment lines carry their place, as a shipper that cuts logs writes it.
     marked = lines.unionByName(broken).select(F.concat_ws("\t", F.col("byte_offset").cast("string"), "text").alias("value"))
     marked.write.text(source)
-    rows = V.text_stream(spark, source).select(
-        "path",
-        F.substring_index("value", "\t", 1).cast("long").alias("byte_offset"),
-        F.expr("substr(value, instr(value, '\t') + 1)").alias("text"),
-    )
-    turns = A.claude_code_turns(rows, include_sidechain=True, max_chars=Q.MAX, ts=Q.AT)
-    out = scratch_path(spark, "turns")
-    writer = turns.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "turns-cp"))
-    V.single_pass(writer.trigger(availableNow=True).start(out))
+    # A third of a file a batch: budgets cut inside lines, and every pass restarts from the checkpoint.
+    budget = spark.read.format("binaryFile").load(source).agg(F.max("length")).first()[0] // 3 + 1
+    out, checkpoint = scratch_path(spark, "turns"), scratch_path(spark, "turns-cp")
+    for _ in range(3):
+        lines = line_stream(spark, source, f"{checkpoint}/places", glob="part-*", backfill=True, max_bytes=budget)
+        rows = lines.select(
+            "path",
+            F.substring_index("text", "\t", 1).cast("long").alias("byte_offset"),
+            F.expr("substr(text, instr(text, '\t') + 1)").alias("text"),
+        )
+        turns = A.claude_code_turns(rows, include_sidechain=True, max_chars=Q.MAX, ts=Q.AT)
+        writer = turns.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        V.single_pass(writer.trigger(availableNow=True).start(out))
     return spark.read.parquet(out).groupBy("event_type", "project").agg(
         F.count("*").alias("n"), F.sum(F.length("raw_text")).alias("chars"), F.countDistinct("event_id").alias("ids")
     )

@@ -15,6 +15,7 @@ from evledger.sources import files as T
 from evledger.sources import tail as L
 from evledger.sources import transcripts as A
 from evledger.streaming import incremental as I
+from evledger.streaming import watch
 from evledger.streaming.live import read_ledger
 
 MAX = 500
@@ -576,26 +577,33 @@ def change_batch(spark, d):
 
 @query(
     "watch_stream",
-    f"""WITH {_ORDERS}, v AS (SELECT 1 AS version, * FROM prev UNION ALL SELECT 2, * FROM cur)
-    SELECT 'root_' || r AS root, v AS version, CASE v WHEN 1 THEN 'watch_baseline' ELSE 'file_change_batch' END AS event_type,
-      CASE v WHEN 1 THEN (SELECT count(*) FROM prev p WHERE p.root = 'root_' || r) ELSE (SELECT count(*) FROM diff x WHERE x.root = 'root_' || r) END AS n
-    FROM range(20) t(r), range(1, 4) u(v) WHERE CASE v WHEN 1 THEN EXISTS (SELECT 1 FROM prev p WHERE p.root = 'root_' || r)
-      WHEN 2 THEN EXISTS (SELECT 1 FROM diff x WHERE x.root = 'root_' || r) ELSE false END""",
+    """WITH f AS (SELECT DISTINCT 'd' || doc_id // 50 AS folder, doc_id % 10 = 3 AS late FROM documents)
+    SELECT 1::BIGINT AS version, 'watch_baseline' AS event_type, 'Watch baseline for ' || count(*) || ' files' AS summary,
+      NULL::BIGINT AS created FROM f WHERE NOT late
+    UNION ALL SELECT 2, 'file_change_batch', 'File change batch: ' || count(*) || ' paths', count(*) FROM f WHERE late HAVING count(*) > 0""",
 )
 def watch_stream(spark, d):
-    """Three snapshot versions in turn: baseline, changes, and no change at all."""
-    previous, current = snapshots(spark, d)
-    state, out = None, []
-    for version, snapshot in enumerate((previous, current, current), 1):
-        if state is None:
-            events = T.watch_baseline(snapshot, ts=AT)
-        else:
-            events = T.change_batches(T.snapshot_diff(state, snapshot, ("root", "path")), ts=AT)
-        out.append(events.withColumn("version", F.lit(version)))
-        state = snapshot
-    n = F.regexp_extract("summary", r"(\d+)", 1).cast("bigint")
-    rows = union_sources(*out)
-    return rows.select("root", F.col("version").cast("bigint").alias("version"), "event_type", n.alias("n"))
+    """Three triggers over a folder that gains files after the first; each is a restart from the checkpoint."""
+    root = scratch_path(spark, "watched")
+    rows = spread(table(spark, d, "documents")).select(
+        F.concat(F.lit("d"), F.floor(F.col("doc_id") / 50).cast("string")).alias("folder"), "doc_id", "text"
+    )
+    late = F.col("doc_id") % 10 == 3
+    paths = [scratch_path(spark, f"watch-{name}") for name in ("state", "out", "checkpoint")]
+    snapshot = lambda: T.tree_snapshot(spark, root, ["_SUCCESS", "*.crc"]).withColumn("root", F.lit("documents"))
+    for added in (rows.where(~late), rows.where(late), None):
+        if added is not None:
+            added.repartition("folder").select("folder", F.concat("text", F.lit("")).alias("value")).write.mode("append").partitionBy(
+                "folder"
+            ).text(root)
+        watch.watch_stream(spark, snapshot, *paths, once=True, ts=AT).awaitTermination()
+    created = F.size(F.from_json(F.get_json_object("payload", "$.changes.created"), "array<string>"))
+    return spark.read.parquet(paths[1]).select(
+        (F.col("batch") + 1).cast("bigint").alias("version"),
+        "event_type",
+        "summary",
+        F.when(F.col("event_type") == "file_change_batch", created).cast("bigint").alias("created"),
+    )
 
 
 _IGNORED = """CASE o_orderkey % 8 WHEN 0 THEN '.git/x' || o_custkey WHEN 1 THEN 'src/a' || o_custkey || '.pyc' WHEN 2 THEN 'node_modules'

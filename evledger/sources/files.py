@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from evledger import positions
 from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.envelope import build_event
-from evledger.session import materialize
-from evledger.sources.tail import NAMED_FILES, escaped, plain_path
+from evledger.session import materialize, ship_package, task_width
+from evledger.sources.growing import file_system
+from evledger.sources.tail import plain_path
 
 # What a watcher skips unless told otherwise.  The store's own
 # folder is appended from the namespace.
@@ -58,23 +61,46 @@ def tree_snapshot(spark: SparkSession, root: str, globs: Iterable[str] | None =
     return ignore_paths(listed.select(relative.alias("path"), "size", "mtime_ns"), globs)
 
 
+#: Bytes of a file that are held at once while it is hashed.
+CHUNK = 1 << 20
+
+
+def hash_file(path: str) -> tuple[int, str]:
+    """Size and SHA-256 of a file of any length, read once in pieces."""
+    fs, name = file_system(path)
+    digest, size = hashlib.sha256(), 0
+    with fs.open_input_stream(name) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+            size += len(chunk)
+    return size, digest.hexdigest()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, rows = batch.column("path").to_pylist(), []
+        for uri, path in zip(batch.column("uri").to_pylist(), paths):
+            rows.append((path, *hash_file(uri)))
+        columns = list(zip(*rows)) or [(), (), ()]
+        types = (pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["path", "size", "sha256"])
+
+
 def file_artifacts(spark: SparkSession, requested: DataFrame, root: str) -> DataFrame:
     """Artifact structs for requested ``(path, kind)``; missing files are kept.
 
-    The listing opens no file; only the requested ones that exist are then read by
-    name, or all of ``root`` where they are very many.
+    The listing opens no file.  The requested ones that exist are dealt to tasks and each
+    is hashed in pieces, so a file may be of any size.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     wanted = requested.select("path").distinct()
-    present = files.load(root).select(plain_path(F.col("path")).alias("path")).join(wanted, "path", "left_semi")
-    names = [escaped(row["path"]) for row in present.limit(NAMED_FILES + 1).collect()]
-    found = files.load(names if 0 < len(names) <= NAMED_FILES else root).select(
-        plain_path(F.col("path")).alias("path"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-    if not names:
-        found = found.where(F.lit(False))
+    plain = plain_path(F.col("path"))
+    uri = F.when(F.col("path").startswith("file:"), plain).otherwise(F.col("path"))
+    present = files.select(uri.alias("uri"), plain.alias("path"))
+    present = materialize(present.join(wanted, "path", "left_semi"), "present")
+    width = task_width(spark, present.count(), 50)
+    found = present.repartition(width).mapInArrow(_hashed, "path string, size bigint, sha256 string")
     return requested.join(found, "path", "left").select(
         "kind", "path", F.col("sha256").isNotNull().alias("exists"), "size", "sha256"
     )

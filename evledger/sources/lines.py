@@ -8,6 +8,7 @@ are checked, through one small row per split.
 
 from __future__ import annotations
 
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -89,10 +90,14 @@ def _check_lines(values: list[bytes], previous):
 _EDGE = "edge"  # kind of the one row per split that sums it up
 
 
-def _scan_pass(keep_value: bool, with_facts: bool):
+def _scan_pass(keep_value: bool, with_facts: bool, digest: bool):
     fields = list(_POSITION_FIELDS)
     if keep_value:
         fields.append(T.StructField("value", T.BinaryType()))
+    if digest:
+        fields.append(T.StructField("line_sha", T.BinaryType()))
+        # Of the one edge row: its last line without newline, and its first and last with a byte order mark.
+        fields.append(T.StructField("edge_sha", T.ArrayType(T.BinaryType())))
     if with_facts:
         fields += [T.StructField(n, t) for n, t in _CHECK_TYPES.items()]
         fields.append(T.StructField("events", T.LongType()))
@@ -109,18 +114,25 @@ def _scan_pass(keep_value: bool, with_facts: bool):
         out += [pa.array(a) for a in (np.arange(rows) + start_line, ends - size + start_at, size)]
         if keep_value:
             out.append(values)
+        if digest:
+            shas = [sha256(v + b"\n").digest() for v in values.to_pylist()]
+            out += [pa.array(shas, pa.binary()), pa.nulls(rows, schema.field("edge_sha").type)]
         return out, int(ends[-1])
 
     def run(batches):
         split, size, offset, line = None, None, 0, 0
         previous = first = None
         events = 0
+        outer = [None, None]  # first and last line of the split
 
         def edge():
             """Totals of a finished split and its last event."""
             row = dict.fromkeys(schema.names)
             row.update(path=split[0], block_start=split[1], file_size=size)
             row.update(local_line=line, local_start=offset, local_len=0, kind=_EDGE)
+            if digest:
+                variants = (outer[1], _BOM + outer[0] + b"\n", _BOM + outer[1])
+                row.update(edge_sha=[sha256(v).digest() for v in variants])
             if with_facts:
                 row.update(events=events, problem=first, link_ok=previous is not None)
                 if previous is not None:
@@ -144,6 +156,8 @@ def _scan_pass(keep_value: bool, with_facts: bool):
                         yield edge()
                     split, size, offset, line = here, batch.column("file_size")[begin].as_py(), 0, 0
                     previous, first, events = None, None, 0
+                    outer[0] = batch.column("value")[begin].as_py()
+                outer[1] = batch.column("value")[end - 1].as_py()
                 values = batch.column("value").slice(begin, end - begin)
                 out, length = batch_of((*split, size), line, offset, values)
                 if with_facts:
@@ -201,16 +215,18 @@ def scan_ledger(
     keep_value: bool = False,
     ledger: Column | None = None,
     glob: str | None = None,
+    digest: bool = False,
 ) -> LedgerScan:
     """One pass over ledger text.
 
     Lines have ledger_id, path, line (from 1), byte_offset, byte_len,
-    terminated and, on request, ``value`` and the check columns.  A ledger
+    terminated and, on request, ``value``, the check columns and ``line_sha``, the SHA-256
+    of the line's bytes with its newline.  A ledger
     kept as several files is read in path order as one log.  The pass is
     written once to the shared folder; everything that follows reads narrow
     columns of that table.
     """
-    run, schema = _scan_pass(keep_value, with_facts)
+    run, schema = _scan_pass(keep_value, with_facts, digest)
     staged = materialize(
         read_text_splits(spark, paths, glob)
         .mapInArrow(run, schema)
@@ -226,6 +242,8 @@ def scan_ledger(
         F.col("local_line").alias("lines"),
         F.col("local_start").alias("bytes"),
     ]
+    if digest:
+        columns.append("edge_sha")
     if with_facts:
         columns += [
             "events",
@@ -233,7 +251,7 @@ def scan_ledger(
             F.when(F.col("link_ok"), F.struct("stored_hash", "event_id")).alias("last_event"),
         ]
     splits = staged.where(is_edge).select(*columns)
-    staged = staged.where(~is_edge)
+    staged = staged.where(~is_edge).drop("edge_sha")
     in_file = W.partitionBy("ledger_id", "path")
     in_log = W.partitionBy("ledger_id").orderBy("path", "block_start")
     before = in_log.rowsBetween(W.unboundedPreceding, -1)
@@ -251,6 +269,8 @@ def scan_ledger(
         .withColumn("byte_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     )
     place = ["ledger_id", "path", "block_start", "lines", "line_base", "byte_base", "_open", "_bom"]
+    if digest:
+        place.append("edge_sha")
     keep = [*place, "_size"]
     if with_facts:
         splits = splits.withColumn("edge", F.last("last_event", ignorenulls=True).over(before))
@@ -285,6 +305,11 @@ def scan_ledger(
             ),
         )
         columns.append("value")
+    if digest:
+        marked, opened = first_row & (F.col("_bom") > 0), ~F.col("terminated")
+        sha = F.when(marked & opened, F.col("edge_sha")[2]).when(marked, F.col("edge_sha")[1])
+        placed = placed.withColumn("line_sha", sha.when(opened, F.col("edge_sha")[0]).otherwise(F.col("line_sha")))
+        columns.append("line_sha")
     if with_facts:
         # A byte order mark is not JSON: the line fails as it would unstripped.
         marked = first_row & (F.col("_bom") > 0) & (F.col("kind") == "event")

@@ -7,19 +7,23 @@ crash in between repeats the batch with the same ids and replaces its output.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from evledger import positions
 from evledger import schema as S
 from evledger.operators.policy import CapturePolicy
 from evledger.schema import DEFAULT_BATCH_BYTES
 from evledger.session import broadcast_if_small, materialize
 from evledger.sources import tail as L
 from evledger.sources import transcripts as A
+from evledger.sources.growing import line_stream
 from evledger.streaming.live import append_batch, ledger_heads
 
 Parser = Callable[..., DataFrame]
@@ -119,6 +123,16 @@ def in_order(rows: DataFrame, order: list[str], last: int = 0) -> DataFrame:
     return joined.select(seq.alias("seq"), *rows.columns)
 
 
+def _append_in_order(
+    events: DataFrame, batch: int, ledger: str, ledger_id: str, policy: CapturePolicy | None, namespace: str
+) -> None:
+    """Number the events of a batch after those before it and append them."""
+    heads = ledger_heads(events.sparkSession, ledger, batch)
+    last = None if heads is None else heads.where(F.col("ledger_id") == ledger_id).first()
+    numbered = in_order(events.withColumn("ledger_id", F.lit(ledger_id)), ["source", *_PLACE], last["last_seq"] if last else 0)
+    append_batch(numbered.drop(*_PLACE), batch, ledger, policy=policy, namespace=namespace)
+
+
 def capture_once(
     spark: SparkSession,
     specs: list[SourceSpec],
@@ -145,13 +159,77 @@ def capture_once(
         states.append(after)
     if change is not None:
         events = change(events)
-    heads = ledger_heads(spark, ledger, version)
-    last = None if heads is None else heads.where(F.col("ledger_id") == ledger_id).first()
-    numbered = in_order(events.withColumn("ledger_id", F.lit(ledger_id)), ["source", *_PLACE], last["last_seq"] if last else 0)
-    append_batch(numbered.drop(*_PLACE), version, ledger, policy=policy, namespace=namespace)
+    _append_in_order(events, version, ledger, ledger_id, policy, namespace)
     after = states[0]
     for more in states[1:]:
         after = after.unionByName(more)
     others = state.where(~F.col("tailer").isin([s.name for s in specs]))
     L.save_source_state(after.unionByName(others, allowMissingColumns=True), state_path)
     return spark.read.parquet(f"{ledger}/events/batch={version}")
+
+
+def _with_headers(spec: SourceSpec, pieces: DataFrame, kept: str, batch: int) -> DataFrame:
+    """Lines of a batch with the header that their file carries from earlier batches.
+
+    Opening lines (part -1) give the header of a file whose beginning was not captured.  The
+    newest header of each file is kept for later batches.
+    """
+    spark = pieces.sparkSession
+    lines = pieces.where("part >= 0")
+    place = F.struct("generation", "byte_offset", "part")
+    newest = lambda rows: spec.header(rows).groupBy("path").agg(F.max_by("text", place).alias("meta"))
+    known = positions.newest(spark, kept, batch, "path")
+    opening = newest(pieces.where("part < 0"))
+    carried = opening if known is None else known.unionByName(opening.join(known, "path", "left_anti"))
+    carried = materialize(carried.join(pieces.select("path").distinct(), "path", "left_semi"), "headers")
+    fresh = newest(lines)
+    positions.put(fresh.unionByName(carried.join(fresh, "path", "left_anti")), kept, batch, "path")
+    generations = lines.groupBy("path").agg(F.max("generation").alias("generation"))
+    before = carried.join(generations, "path").select(
+        "path", F.lit(-1).cast("long").alias("byte_offset"), "generation", F.lit(0).alias("part"), F.col("meta").alias("text")
+    )
+    return lines.unionByName(before)
+
+
+def capture_stream(
+    spark: SparkSession,
+    specs: list[SourceSpec],
+    ledger: str,
+    checkpoint: str,
+    *,
+    ledger_id: str = "ledger",
+    policy: CapturePolicy | None = None,
+    change: Change | None = None,
+    backfill: bool = False,
+    max_bytes: int = DEFAULT_BATCH_BYTES,
+    once: bool = False,
+    namespace: str = S.NAMESPACE,
+) -> StreamingQuery:
+    """`capture_once` as a stream: growing files of several sources into one ledger.
+
+    Places are in the checkpoint, headers and heads in tables by batch; a batch that is
+    repeated after a crash reads the same ranges, mints the same ids and replaces its output.
+    """
+    lines = None
+    for spec in specs:
+        found = line_stream(
+            spark, spec.root, f"{checkpoint}/places-{spec.name}", glob=spec.glob, layout=spec.layout, backfill=backfill, max_bytes=max_bytes
+        ).withColumn("tailer", F.lit(spec.name))
+        lines = found if lines is None else lines.unionByName(found)
+
+    def append(rows: DataFrame, batch: int) -> None:
+        rows = materialize(rows, "lines")
+        events = None
+        for spec in specs:
+            pieces = rows.where(F.col("tailer") == spec.name).drop("tailer")
+            if spec.header is not None:
+                pieces = _with_headers(spec, pieces, f"{ledger}/headers-{spec.name}", batch)
+            found = spec.parse(pieces.where("part >= 0"), keep=_PLACE, **spec.options)
+            events = found if events is None else events.unionByName(found)
+        if change is not None:
+            events = change(events)
+        _append_in_order(events, batch, ledger, ledger_id, policy, namespace)
+
+    writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+    writer = writer.queryName(f"capture-{zlib.crc32(ledger.encode()):08x}")
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,3 +1,7 @@
+import hashlib
+import json
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +67,7 @@ def rewrite(spark, folder, change):
     change(kept).write.mode("overwrite").parquet(folder)
 
 
-@pytest.mark.parametrize("part", ["lines", "breakpoints", "reports", "manifests"])
+@pytest.mark.parametrize("part", ["lines", "breakpoints", "breakpoint_lists", "reports", "manifests"])
 def test_any_changed_part_closes_the_archive(spark, sealed, part):
     folder = f"{sealed}/{part}"
     if part == "lines":
@@ -74,6 +78,8 @@ def test_any_changed_part_closes_the_archive(spark, sealed, part):
         rewrite(spark, one, lambda df: df.withColumn("value", flip))
     elif part == "breakpoints":
         rewrite(spark, folder, lambda df: df.where("line > 8"))
+    elif part == "breakpoint_lists":
+        rewrite(spark, folder, lambda df: df.withColumn("document", F.replace("document", F.lit('"count":2'), F.lit('"count":3'))))
     elif part == "reports":
         rewrite(spark, folder, lambda df: df.withColumn("report", F.concat("report", F.lit(" "))))
     else:
@@ -116,3 +122,124 @@ def test_manifest_fields_and_registry(spark, sealed):
     new = A.start_new_ledgers(rows, AT).select("value", "previous_hash").collect()
     assert len(new) == 2 and all(r.previous_hash is None for r in new)
     assert {json.loads(r.value)["event_type"] for r in new} == {"ledger_transition"}
+
+
+def change_list(spark, sealed, text, extra=None):
+    """Break the list of ledger "one" and pin the broken document, so that only its content can tell."""
+    doc = f"{sealed}/breakpoint_lists"
+    before = spark.read.parquet(doc).where("ledger_id = 'one'").first().document
+    after = text(before)
+    hit = F.col("ledger_id") == "one"
+    rewrite(spark, doc, lambda df: df.withColumn("document", F.when(hit, F.lit(after)).otherwise(F.col("document"))))
+    old, new = (hashlib.sha256(x.encode()).hexdigest() for x in (before, after))
+    fix = F.replace(F.col("manifest"), F.lit(old), F.lit(new))
+    rewrite(
+        spark, f"{sealed}/manifests",
+        lambda df: df.withColumn("manifest", fix).withColumn("manifest_sha256", F.sha2("manifest", 256)),
+    )
+    if extra is not None:
+        rewrite(spark, f"{sealed}/breakpoints", extra)
+
+
+@pytest.mark.parametrize(
+    "check, text, extra",
+    [
+        ("breakpoint_schema", lambda t: t.replace("breakpoint_list.v1", "breakpoint_list.v9"), None),
+        ("breakpoint_count", lambda t: t.replace('"count":2', '"count":1'), None),
+        ("breakpoint_owner", lambda t: t.replace("archive_", "archive_0"), None),
+        ("breakpoint_offsets", lambda t: t, lambda df: df.withColumn("byte_offset", F.lit(7).cast("long"))),
+        ("breakpoint_digest", lambda t: t, lambda df: df.withColumn("event_id", F.lit("evt_x"))),
+    ],
+)
+def test_a_wrong_list_refuses_its_ledger_only(spark, sealed, check, text, extra):
+    change_list(spark, sealed, text, extra)
+    failed = {r.ledger_id: r.failed_checks for r in A.refused_ledgers(A.archive_context(spark, sealed)).collect()}
+    assert set(failed) == {"one"} and check in failed["one"]
+    events, _, _ = A.archive_batches(spark, sealed)
+    assert {r.ledger_id for r in events.select("ledger_id").collect()} == {"two"}
+
+
+def test_frozen_bytes_are_held_against_the_verified_ones(spark, tmp_path, monkeypatch):
+    lines = L.ledger_lines(spark, write_all(tmp_path / "in", {"one": gapped(6, ())}))
+    real = A.archive_lines
+    grown = lambda s, p: real(s, p).withColumn("value", F.concat("value", F.lit(b" ")))
+    with monkeypatch.context() as m:
+        m.setattr(A, "archive_lines", grown)
+        with pytest.raises(A.SealedArchiveError, match="changed while"):
+            A.seal(lines, str(tmp_path / "a"), sealed_at=AT)
+    assert not A.is_sealed(spark, str(tmp_path / "a"))
+
+
+@pytest.fixture
+def whole(spark, tmp_path):
+    lines = L.ledger_lines(spark, write_all(tmp_path / "in", {"one": gapped(9, {4}), "two": gapped(3, ())}))
+    paths = str(tmp_path / "seals"), str(tmp_path / "registry")
+    return lines, paths, lambda rows=lines, **more: A.seal_and_continue(rows, *paths, sealed_at=AT, active="/a", **more)
+
+
+def test_whole_seal(spark, whole):
+    lines, (seals, registry), run = whole
+    entries = run()
+    assert len(entries.columns) == 11 and entries.count() == 2
+    assert {r.ledger_id for r in A.registered_archives(spark, registry).collect()} == {"one", "two"}
+    opened = A.continued_ledgers(spark, registry)
+    assert opened.count() == 2 and {json.loads(r.value)["event_type"] for r in opened.collect()} == {"ledger_transition"}
+    archive = A.committed_seals(spark, registry)[0]
+    assert all(r.valid for r in A.verify_archive(spark, archive, A.registered_archives(spark, registry)).collect())
+    with pytest.raises(A.LedgerAlreadySealedError):
+        run()
+    # A successor is sealed in its turn: it is no longer an open ledger.
+    later = opened.where(F.col("ledger_id") == opened.first().ledger_id)
+    text = later.select("ledger_id", F.lit(1).cast("long").alias("line"), F.lit(0).cast("long").alias("byte_offset"),
+                        F.octet_length("value").cast("long").alias("byte_len"), F.lit(False).alias("terminated"), F.col("value").cast("binary").alias("value"))
+    run(text)
+    assert A.registered_archives(spark, registry).count() == 3 and A.continued_ledgers(spark, registry).count() == 2
+
+
+STEPS = ["table_facts", "verify_reports", "breakpoint_lists", "manifests", "registry_entries", "start_new_ledgers", "create_once"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_crash_before_the_commit_leaves_nothing(spark, whole, monkeypatch, step):
+    """Whatever write dies, the registry is as before and the next seal is whole."""
+    _, (seals, registry), run = whole
+    with monkeypatch.context() as m:
+        m.setattr(A, step, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run()
+    assert A.committed_seals(spark, registry) == [] and A.registered_archives(spark, registry).count() == 0
+    assert A.continued_ledgers(spark, registry) is None
+    if step == STEPS[-1]:
+        run()
+        assert A.registered_archives(spark, registry).count() == 2
+
+
+def test_of_two_seals_one_is_committed(spark, whole):
+    _, (seals, registry), run = whole
+    results = []
+
+    def attempt():
+        try:
+            results.append(run().count())
+        except A.LedgerAlreadySealedError:
+            results.append("refused")
+
+    threads = [threading.Thread(target=attempt) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(map(str, results)) == ["2", "refused"]
+    assert A.registered_archives(spark, registry).count() == 2 and len(A.committed_seals(spark, registry)) == 1
+
+
+def test_one_of_many_creators_wins(spark, tmp_path):
+    won = []
+    work = lambda k: won.append(k) if A.create_once(spark, f"{tmp_path}/c/1.json", f"{k}") else None
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and (tmp_path / "c/1.json").read_text() == str(won[0])
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["1.json"]

@@ -144,3 +144,44 @@ def test_seal_gate_lists_sorted_codes(spark, tmp_path):
     assert message.endswith("content_hash_mismatch, duplicate_event_id, schema_mismatch")
     assert json.dumps(message)
     assert V.error_codes(errors.where(F.col("code") == "previous_hash_mismatch")).count() == 0
+
+
+def tree(data):
+    """The digest tree in plain code: lines, then 1 MiB of offsets, then fixed fan-in."""
+    import hashlib
+
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    rows, at = [], 0
+    for line in data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")[:-1]]:
+        rows.append((at, hexed(line)))
+        at += len(line)
+    for width in (1 << 20, 4096, 4096, 4096):
+        groups = {}
+        for at, h in rows:
+            groups.setdefault(at // width, []).append(h)
+        rows = [(k, hexed("".join(v).encode())) for k, v in sorted(groups.items())]
+    return rows[0][1]
+
+
+@pytest.mark.parametrize("size", ["700", "4000", "128m"])
+@pytest.mark.parametrize("shape", ["plain", "open", "bom", "bom-open-single", "blank"])
+def test_digest_of_the_scan(spark, tmp_path, size, shape):
+    """Equal at any split size, with a byte order mark, without the last newline; ids follow from it."""
+    from evledger.operators.archive import snapshot_digest
+
+    data = b"".join(map(dump, chain(1 if "single" in shape else 40)))
+    data = (b"\xef\xbb\xbf" if "bom" in shape else b"") + (data[:-1] if "open" in shape else data)
+    data = data + b"\n\r\n" if shape == "blank" else data
+    path = write(tmp_path, data)
+    for key, value in (("maxPartitionBytes", size), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        row = V.verify_ledger(spark, path)[0].first()
+        table = snapshot_digest(L.ledger_lines(spark, path)).first()
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert row.snapshot_sha256 == table.sha256 == tree(data)
+    assert row.path == path and row.known_id.startswith("ledger_") and len(row.known_id) == 39
+    known = spark.createDataFrame([(path, "known-id")], "path string, ledger_id string")
+    assert V.verify_ledger(spark, path, manifests=known)[0].first().known_id == "known-id"
