@@ -50,7 +50,7 @@ class Encoder:
     of what comes is not in it.
     """
 
-    def __init__(self, path: str, remember: int = 64 << 20) -> None:
+    def __init__(self, path: str, remember: int = 96 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
