@@ -13,11 +13,6 @@ SECRET_RULES = (
     r"sk-[A-Za-z0-9_-]{20,}",
     r"(?i)\b(api[_-]?key|secret|password)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{12,}",
 )
-PRIVATE_PATH_RULES = (
-    r"(?i)C:\\Users\\Administrator",
-    r"(?i)D:\\Dev\\Projects",
-    r"(?i)E:\\",
-)
 SCANNED_SUFFIXES = (".md", ".py", ".toml", ".json", ".js", ".html", ".yml", ".yaml")
 SCANNED_NAMES = ("LICENSE", "AGENTS.md")
 PRIVATE_PREFIXES = ("data/private/",)
@@ -45,12 +40,14 @@ def audit_scan(
     texts: DataFrame,
     *,
     guards: Sequence[Guard] = (),
+    private_paths: Sequence[str] = (),
     own_store: str = ".evledger/",
     exempt_files: Sequence[str] = (),
 ) -> DataFrame:
     """Issue rows ``(path, issue)`` of ``(path, text)``, in one pass.
 
-    Every rule is a foldable regex on the same row, so there is no rule join
+    ``private_paths`` are patterns of workstation folders that no published text may
+    hold.  Every rule is a foldable regex on the same row, so there is no rule join
     and no shuffle.
     """
     path, text = F.col("path"), F.col("text")
@@ -69,7 +66,7 @@ def audit_scan(
                 F.concat(F.lit("possible secret in "), path, F.lit(f": {rule}")),
             )
         )
-    for rule in PRIVATE_PATH_RULES:
+    for rule in private_paths:
         issues.append(
             F.when(
                 open_text & ~exempt & text.rlike(rule),

@@ -16,6 +16,7 @@ from evledger.functions import text as X
 from evledger.operators.archive import seal
 from evledger.operators.chain import chain_build, chain_lines, write_ledger
 from evledger.operators.envelope import build_event
+from evledger.operators.index import IndexedLedger, index_ledger
 from evledger.operators.verify import verify_errors
 from evledger.session import materialize, scratch_path, ship_package, spread
 from evledger.sources.lines import ledger_lines, scan_ledger
@@ -186,14 +187,26 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> str:
     return shared(spark, sf_dir, "files", lambda: write_ledger_files(chained(spark, sf_dir)))
 
 
+def ledger_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the clean ledgers lie as a table of lines with positions, in offset order."""
+
+    def make():
+        path = scratch_path(spark, "ledger-table")
+        ledger_lines(spark, ledger_files(spark, sf_dir)).write.parquet(path)
+        return path
+
+    return shared(spark, sf_dir, "lines", make)
+
+
 def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean ledgers as a table of lines with positions."""
-    return shared(
-        spark,
-        sf_dir,
-        "lines",
-        lambda: materialize(ledger_lines(spark, ledger_files(spark, sf_dir)), "ledger-table"),
-    )
+    return spark.read.parquet(ledger_path(spark, sf_dir))
+
+
+def indexed_ledger(spark: SparkSession, sf_dir: str) -> IndexedLedger:
+    """The same table with its offset index."""
+    path = ledger_path(spark, sf_dir)
+    return shared(spark, sf_dir, "lines-index", lambda: index_ledger(spark, path, scratch_path(spark, "ledger-index")))
 
 
 # Damage by arithmetic on the event id: one kind per row, first match wins.

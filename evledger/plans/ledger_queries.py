@@ -329,7 +329,7 @@ def active_guard(spark, d):
     QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY seq) <= 120""",
 )
 def read_incremental(spark, d):
-    lines = B.ledger_table(spark, d)
+    lines = B.indexed_ledger(spark, d)
     events, _, _ = R.read_batches(
         lines,
         R.zero_cursors(lines),

@@ -165,11 +165,11 @@ def health_rollup(spark, d):
 _PATH = """CASE doc_id % 7 WHEN 0 THEN '.evledger/d' || doc_id WHEN 1 THEN 'src/d' || doc_id || '.py' WHEN 2 THEN 'tests/d' || doc_id || '.md'
   WHEN 3 THEN 'docs/d' || doc_id || '.TXT' WHEN 4 THEN 'app/server.py' WHEN 5 THEN 'app/settings.py' ELSE 'x' || doc_id || '/LICENSE' END"""
 _TEXT = r"""CASE doc_id % 4 WHEN 0 THEN text || ' sk-abcdefghijklmnopqrst' || doc_id WHEN 1 THEN text || ' api_key: ''abcdefghijkl' || doc_id || ''''
-  WHEN 2 THEN text || ' c:\users\administrator\x' ELSE text || ' e:\y' END"""
+  WHEN 2 THEN text || ' /Home/mira/private/x' ELSE text || ' f:\vault\y' END"""
 _R1 = r"sk-[A-Za-z0-9_-]{20,}"
 _R2 = r"""(?i)\b(api[_-]?key|secret|password)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{12,}"""
 _SQL_R2 = _R2.replace("'", "''")
-_P = [r"(?i)C:\\Users\\Administrator", r"(?i)D:\\Dev\\Projects", r"(?i)E:\\"]
+_P = [r"(?i)/home/[a-z]+/private", r"(?i)F:\\vault"]
 
 _AUDIT = (
     f"""WITH t AS (SELECT doc_id, {_PATH} AS path, {_TEXT} AS body FROM documents),
@@ -209,11 +209,11 @@ def audit_scan(spark, d):
     text = (
         F.when(kind == 0, F.concat("text", F.lit(" sk-abcdefghijklmnopqrst"), n))
         .when(kind == 1, F.concat("text", F.lit(" api_key: 'abcdefghijkl"), n, F.lit("'")))
-        .when(kind == 2, F.concat("text", F.lit(" c:\\users\\administrator\\x")))
-        .otherwise(F.concat("text", F.lit(" e:\\y")))
+        .when(kind == 2, F.concat("text", F.lit(" /Home/mira/private/x")))
+        .otherwise(F.concat("text", F.lit(" f:\\vault\\y")))
     )
     texts = spread(table(spark, d, "documents")).select(path.alias("path"), text.alias("text"))
-    return U.audit_scan(texts, guards=GUARDS)
+    return U.audit_scan(texts, guards=GUARDS, private_paths=_P)
 
 
 # -- streaming ---------------------------------------------------------------
@@ -345,8 +345,8 @@ def cursor_stream(spark, d):
     def consume(events, number):
         events.select("ledger_id", "line", "event_id", "content_hash").write.parquet(f"{out}/round={number}")
 
-    lines = B.ledger_table(spark, d)
-    size = lines.groupBy("ledger_id").agg(F.sum("byte_len").alias("s")).agg(F.max("s")).first()[0]
+    lines = B.indexed_ledger(spark, d)
+    size = lines.sizes().agg(F.max("ledger_size")).first()[0]
     V.cursor_stream(
         lines,
         scratch_path(spark, "positions"),

@@ -6,14 +6,14 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evledger import schema as S
 from evledger.functions import text as X
 from evledger.operators.envelope import build_event
-from evledger.operators.segments import SEGMENT_ROWS, lag_value
+from evledger.operators.segments import SEGMENT_BYTES, SEGMENT_ROWS, lag_value, running_sum
+from evledger.session import broadcast_if_small, materialize
 
 CLIP_CHARS = 20_000
 
@@ -27,16 +27,18 @@ def _object(**fields: Column) -> Column:
 # -- shell history -----------------------------------------------------------
 
 
-def join_continuations(lines: DataFrame, keys: tuple[str, ...] = ("path", "poll")) -> DataFrame:
+def join_continuations(
+    lines: DataFrame, keys: tuple[str, ...] = ("path", "poll"), width: int = SEGMENT_BYTES
+) -> DataFrame:
     """Commands from history lines; a trailing backtick continues the command.
 
-    ``lines`` has the keys, ``byte_offset`` and ``text``.  ``poll`` names one
-    read of a file, at most its byte budget, so a window stays that small.
+    ``lines`` has the keys, ``byte_offset`` and ``text``.  Commands are numbered by a
+    running count over segments of ``width`` bytes, so a read of any length is numbered
+    without one task holding it; only the lines of one command meet.
     """
-    order = W.partitionBy(*keys).orderBy("byte_offset").rowsBetween(W.unboundedPreceding, -1)
     more = F.col("text").endswith("`")
     piece = F.when(more, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
-    islands = lines.withColumn("_command", F.coalesce(F.count_if(~more).over(order), F.lit(0)))
+    islands = running_sum(lines, list(keys), "byte_offset", (~more).cast("long"), "_command", width)
     return (
         islands.groupBy(*keys, "_command")
         .agg(
@@ -63,34 +65,32 @@ def shell_history(
     batch_threshold: int = 20,
     home: str = "",
     ts: Column | str | None = None,
+    width: int = SEGMENT_BYTES,
     namespace: str = S.NAMESPACE,
 ) -> DataFrame:
-    """One event per command, or one batch event when a read holds too many."""
-    commands = self_noise_filter(join_continuations(lines), own_name)
-    batch = (
-        commands.groupBy("path", "poll")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("byte_offset").alias("byte_offset"),
-            F.array_sort(F.collect_list(F.struct("byte_offset", "command"))).alias("rows"),
-        )
-        # A read over the threshold is one row; any other fans out again.
-        .withColumn("big", F.col("n") > batch_threshold)
-        .withColumn(
-            "row",
-            F.explode(
-                F.when(
-                    F.col("big"),
-                    F.array(
-                        F.struct(
-                            F.col("byte_offset"),
-                            F.array_join(F.transform("rows", lambda r: r["command"]), "\n").alias("command"),
-                        )
-                    ),
-                ).otherwise(F.col("rows"))
-            ),
+    """One event per command, or one batch event when a read holds too many.
+
+    Commands are counted per read first.  Those of a read up to the threshold stay
+    rows as they are; only a read above it, whose event is one row by its format, is
+    gathered.
+    """
+    commands = materialize(self_noise_filter(join_continuations(lines, width=width), own_name), "commands")
+    counts = materialize(commands.groupBy("path", "poll").agg(F.count(F.lit(1)).alias("n")), "reads")
+    sized = commands.join(broadcast_if_small(counts), ["path", "poll"])
+    big = F.col("n") > batch_threshold
+    single = sized.where(~big).select("path", "poll", "n", "byte_offset", "command", F.lit(False).alias("big"))
+    gathered = (
+        sized.where(big)
+        .groupBy("path", "poll", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("byte_offset", "command"))).alias("rows"))
+        .select(
+            "path", "poll", "n",
+            F.col("rows")[0]["byte_offset"].alias("byte_offset"),
+            F.array_join(F.transform("rows", lambda r: r["command"]), "\n").alias("command"),
+            F.lit(True).alias("big"),
         )
-    )
+    )
+    batch = single.unionByName(gathered).withColumn("row", F.struct("byte_offset", "command"))
     text = F.col("row.command")
     return build_event(
         batch.withColumn("at", F.col("row.byte_offset")),
