@@ -1,11 +1,11 @@
 """SimHash near-duplicates through a byte-position index with count filtering.
 
 Two 64-bit fingerprints that differ in at most four bits agree in at least four
-of their eight bytes.  The index therefore posts a fingerprint under each set of
-four positional bytes: a pair found under a key shares those four bytes, which
-is the guaranteed minimum, so the tally of the count filter is met by being in
-the same bucket and the exact distance is checked there.  Buckets are keyed by
-32 bits, so they stay small until fingerprints number in the billions.
+of their eight bytes.  The index posts a fingerprint under each set of four positional
+bytes, since lists of single bytes would hold one in 256 fingerprints each.  In a
+bucket the equal positional bytes of each pair are tallied; a pair below the guaranteed
+minimum (eight less the distance sought) is dropped, the others are verified by their exact distance.  Buckets
+are keyed by 32 bits, so they stay small until fingerprints number in the billions.
 
 A bucket that is still hot (many different fingerprints with four equal bytes)
 is split by the same rule on its 32 free bits as eight nibbles, then on 16 free
@@ -106,6 +106,11 @@ def _posted(members: DataFrame, width: int) -> DataFrame:
     return members.mapInArrow(run, "mask long, value long, fp long")
 
 
+def shared_bytes(apart: np.ndarray) -> np.ndarray:
+    """Tally of the positional bytes in which two fingerprints agree, from their XOR."""
+    return (np.ascontiguousarray(apart)[..., None].view(np.uint8) == 0).sum(axis=-1)
+
+
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what the pairs within ``bits`` of a bucket connect."""
     left = np.arange(len(fps))
@@ -114,8 +119,11 @@ def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     while len(left):  # breadth first over the members that are not reached yet
         front, left = left[:1], left[1:]
         while len(front) and len(left):
-            apart = np.bitwise_count(words[front[:, None]] ^ words[left[None, :]])
-            near = apart <= bits
+            apart = words[front[:, None]] ^ words[left[None, :]]
+            near = shared_bytes(apart) >= SYMBOLS - bits
+            # Only pairs that reach the guaranteed minimum of shared bytes are measured.
+            i, j = np.nonzero(near)
+            near[i, j] = np.bitwise_count(apart[i, j]) <= bits
             reached = near.any(axis=0)
             by = front[near.argmax(axis=0)]
             links += zip(fps[by[reached]].tolist(), fps[left[reached]].tolist())

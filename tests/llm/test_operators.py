@@ -87,6 +87,18 @@ def documents(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
+def test_shared_bytes_bound_the_distance():
+    """The tally counts equal bytes; pairs within d bits share eight less d of them."""
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 2**63, 4000, np.uint64)
+    for bits in range(5):
+        flips = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in one]
+        apart = np.array(flips, np.uint64)
+        tally = simhash.shared_bytes(apart)
+        assert (tally >= 8 - bits).all()
+        assert tally.tolist() == [sum(x >> 8 * k & 255 == 0 for k in range(8)) for x in flips]
+
+
 @pytest.mark.parametrize("hot", [2048, 8])
 def test_simhash_equals_brute_force(spark, documents, monkeypatch, hot):
     """Also with buckets split down to pairs of bits."""
