@@ -3,7 +3,7 @@
 A rule is a host and the start of a path, like ``example.net/en/``; it fits the host
 and its subdomains, and the longest fitting rule decides.  URLs that a rule decides
 are the labelled ones: features of the text of the URL, and block rates of its
-suffixes among the labelled, train the trees that judge all others.  Features are SQL
+suffixes among the labelled of other rules, train the trees that judge all others.  Features are SQL
 expressions and the trees are Spark's, so nothing leaves the executors' JVM.
 """
 
@@ -137,17 +137,34 @@ def features(urls: DataFrame) -> DataFrame:
     return urls.withColumns(named)
 
 
-def _with_rates(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds the damped block rate and the share of each suffix among the labelled."""
+def _with_rates(rows: DataFrame, labelled: DataFrame, own: bool) -> DataFrame:
+    """Adds the damped block rate and the share of each suffix among the labelled.
+
+    A rate is what other rules say of a suffix: a labelled row (``own``) does not see the
+    rows of its own rule, and a suffix that only one rule has labelled has the overall rate
+    for all rows.  Else the rate would repeat the verdict of the rule and carry it over to
+    paths that the rule leaves open.
+    """
     totals = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     overall = (totals["blocked"] or 0.0) / max(1, totals["n"])
+    zero = F.lit(0.0)
     for name in SUFFIXES:
-        stats = labelled.groupBy(F.col(name).alias("_suffix")).agg(
-            ((F.sum("label") + PRIOR * overall) / (F.count("*") + PRIOR)).alias(f"{name}_rate"),
-            (F.count("*") / max(1, totals["n"])).alias(f"{name}_share"),
+        per_rule = labelled.groupBy(F.col(name).alias("_suffix"), F.col("rule").alias("_rule")).agg(
+            F.count("*").alias("_own_n"), F.sum("label").alias("_own_b")
+        )
+        whole = per_rule.groupBy("_suffix").agg(
+            F.sum("_own_n").alias("_n"), F.sum("_own_b").alias("_b"), F.count("*").alias("_rules")
         )
-        joined = rows.join(broadcast_if_small(stats), F.col(name) == F.col("_suffix"), "left").drop("_suffix")
-        rows = joined.fillna({f"{name}_rate": overall, f"{name}_share": 0.0})
+        joined = rows.join(broadcast_if_small(whole), F.col(name) == F.col("_suffix"), "left").drop("_suffix")
+        if own:
+            same = (F.col(name) == F.col("_suffix")) & (F.col("rule") == F.col("_rule"))
+            joined = joined.join(broadcast_if_small(per_rule), same, "left")
+            n, b = F.col("_n") - F.col("_own_n"), F.col("_b") - F.col("_own_b")
+        else:
+            n, b = (F.when(F.col("_rules") > 1, F.col(c)) for c in ("_n", "_b"))
+        n, b = F.coalesce(n, zero), F.coalesce(b, zero)
+        rates = {f"{name}_rate": (b + PRIOR * overall) / (n + PRIOR), f"{name}_share": n / max(1, totals["n"])}
+        rows = joined.withColumns(rates).select(*rows.columns, *rates)
     return rows
 
 
@@ -155,8 +172,9 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` per row of ``pages``.
 
     ``verdict`` is the rule's, else the trees'; ``score`` is their probability of a
-    block, null where a rule decides.  A null URL or one without ``://`` has an
-    empty host and path and fits no rule.  Where the labelled URLs have one verdict
+    block, null where a rule decides; at exactly 0.5 the verdict is a block.  A null URL or one
+    without ``://`` has an empty host and path and fits no rule.  Repeated rows are judged alike,
+    other columns are not read.  Where the labelled URLs have one verdict
     only, the others get it too; without any they are allowed.
     """
     host, path = host_and_path(F.col("url"))
@@ -177,9 +195,9 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     trees = GBTClassifier(
         maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, featuresCol="features", labelCol="label"
     )
-    seen = vectors.transform(_with_rates(labelled, labelled)).select("label", "features")
+    seen = vectors.transform(_with_rates(labelled, labelled, True)).select("label", "features")
     model = trees.fit(seen)
-    judged = model.transform(vectors.transform(_with_rates(rows.filter("label IS NULL"), labelled)))
+    judged = model.transform(vectors.transform(_with_rates(rows.filter("label IS NULL"), labelled, False)))
     score = vector_to_array(F.col("probability"))[1]
     by_trees = judged.select(*base, F.when(score >= 0.5, BLOCK).otherwise(ALLOW).alias("verdict"), score.alias("score"))
     by_rule = labelled.select(*base, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
