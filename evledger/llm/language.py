@@ -1,8 +1,8 @@
 """Language identification: known words first, shorter and shorter n-grams else.
 
 Words and their counts per language come from all labelled rows, counted by Spark.
-The model keeps the ``WORDS`` most frequent words and the ``GRAMS`` most frequent
-character n-grams of each length; its size does not grow with the corpus.  A known
+The model keeps ``WORDS`` words and ``GRAMS`` character n-grams of each length, an equal share
+for the most frequent of each language; its size does not grow with the corpus.  A known
 word adds its log frequency in each language.  An unseen word backs off: the longest
 n-grams of which the model knows any decide, by their mean log frequency.
 """
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evledger.llm.common import arrow_map, as_bytes, crc_fold, slices
-from evledger.session import materialize, ship_package
+from evledger.session import broadcast_if_small, materialize, ship_package
 
 WORDS = 200_000
 GRAMS = 50_000
+#: Keys of a language that are kept at least, however many languages there are.
+LEAST = 10_000
 LONGEST = 5
 UNKNOWN = "und"
 #: Distinct words that a counting task holds before it hands them on.
@@ -64,10 +66,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _most(counts: DataFrame, key: str, limit: int) -> DataFrame:
-    """Counts of the ``limit`` keys with the largest sums, ties by the key."""
-    top = counts.groupBy(key).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(limit)
-    return counts.join(F.broadcast(top.select(key)), key)  # at most `limit` short strings
+def _most(counts: DataFrame, key: str, limit: int, langs: list[str]) -> DataFrame:
+    """Counts of the most frequent keys of each language, ties by the key.
+
+    Every language has the same share of ``limit``, at least `LEAST`, so a large one does not
+    push a small one out.  A key that one language keeps is kept with its counts in all.
+    """
+    share = max(LEAST, -(-limit // max(1, len(langs))))
+    top = None
+    for lang in langs:
+        own = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), key).limit(share).select(key)
+        top = own if top is None else top.union(own)
+    if top is None:
+        return counts.limit(0)
+    return counts.join(broadcast_if_small(top.distinct(), 2 * limit), key)
 
 
 class Model:
@@ -140,12 +152,13 @@ class Model:
 def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> Model:
     """Fit on ``docs(lang, text)``; rows with a null language are not used.
 
-    Statistics cover every row.  What reaches the driver is the model: at most
-    ``words`` words and ``grams`` n-grams of each length.
+    Statistics cover every row.  What reaches the driver is the model: about
+    ``words`` words and ``grams`` n-grams of each length, shared out among the languages.
     """
     counts = materialize(word_counts(docs.filter(F.col("lang").isNotNull())), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    kept = _most(counts, "word", words).select("lang", F.col("word").alias("key"), "n").toArrow()
+    langs = sorted(totals)
+    kept = _most(counts, "word", words, langs).select("lang", F.col("word").alias("key"), "n").toArrow()
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def parts(n: int) -> Column:
@@ -160,15 +173,16 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int
     )
     every = materialize(every.groupBy("lang", "key").agg(F.count("*").alias("n")), "grams")
     for n in range(1, longest + 1):
-        tables[n] = _most(every.filter(F.length("key") == n), "key", grams).select("lang", "key", "n").toArrow()
-    return Model(sorted(totals), kept, tables, totals)
+        tables[n] = _most(every.filter(F.length("key") == n), "key", grams, langs).select("lang", "key", "n").toArrow()
+    return Model(langs, kept, tables, totals)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` per row, from the text alone.
 
     A null text or one without a letter is ``und`` with score 0, as is everything
-    under a model without a language.
+    under a model without a language.  Ties go to the first name; repeated rows are judged
+    alike, texts of any length count whole, other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
