@@ -72,7 +72,7 @@ def _most(counts: DataFrame, key: str, limit: int, langs: list[str]) -> DataFram
     Every language has the same share of ``limit``, at least `LEAST`, so a large one does not
     push a small one out.  A key that one language keeps is kept with its counts in all.
     """
-    share = max(LEAST, -(-limit // max(1, len(langs))))
+    share = max(min(LEAST, limit), -(-limit // max(1, len(langs))))
     top = None
     for lang in langs:
         own = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), key).limit(share).select(key)

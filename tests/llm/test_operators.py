@@ -394,7 +394,11 @@ def test_language_of_unseen_words(spark):
     langs, scores = model.predict([b"kalomikalomika lomimikakalo", b"ZETORGSHUSHUZET", b"12 --", b""])
     assert langs == ["aa", "bb", "und", "und"] and scores[0] > 0.9 and scores[1] > 0.9
     small = language.train(spark.createDataFrame(rows, "lang string, text string"), words=3, grams=20)
-    assert len(small.words) == 3 and small.predict([b"kalomi"])[0] == ["aa"]
+    assert len(small.words) == 6 and small.predict([b"kalomi", b"shuzet"])[0] == ["aa", "bb"]
+    # A large language leaves the share of a small one alone.
+    many = rows + [("cc", prose(k, 400, ("ba", "du", "fe", "gi", "ny"))) for k in range(60)]
+    large = language.train(spark.createDataFrame(many, "lang string, text string"), words=30, grams=60)
+    assert large.predict([b"zetorgshu orgzet"])[0] == ["bb"] and len(large.words) == 90
 
 
 def test_language_held_out(spark):
